@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,5 +65,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files of plans that nothing refers to any more; it does so when the driver's JVM collects
+    garbage, which a mostly idle driver would put off until the disk is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
