@@ -171,14 +171,15 @@ class CopyLedger:
         return CopyLedger(self.spark, self.path, self.buckets, version, self.newest | dict.fromkeys(written, version))
 
 
-def members_of(keyed: DataFrame, ledger: DataFrame, rows: int) -> DataFrame:
-    """(tbl, keep_id, dup_id) for every row whose key has an earlier row.
+def members_of(keyed: DataFrame, ledger: DataFrame, rows: int, members: str = "copies") -> DataFrame:
+    """(tbl, keep_id, dup_id) for every row of a group of two or more but its first; ``members`` counts the group, which
+    may be more than the copies of one key.
 
     Keys of more than rows / HEAVY_PART copies, at most HEAVY_PART of them, go by broadcast, so no task gathers a hot
     group; the others are joined on the key.
     """
-    repeated = ledger.filter("copies > 1")
-    heavy_from = max(2, rows // HEAVY_PART)
+    repeated = ledger.filter(F.col(members) > 1)
+    heavy_from = max(1, rows // HEAVY_PART)
     heavy = F.broadcast(repeated.filter(F.col("copies") > heavy_from).select("tbl", "key", F.col("keep_id").alias("_heavy")))
     marked = keyed.join(heavy, ["tbl", "key"], "left")
     hot = marked.filter("_heavy is not null").select("tbl", F.col("_heavy").alias("keep_id"), "id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import encode, ledger
+from cliploom.llm import encode, ledger, neardup
 from cliploom.session import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": ledger.p1_found,
         "p1_counts": ledger.p1_counts,
+        "p4_found": neardup.p4_found,
         "p6_ids": p6_ids,
     }
 
