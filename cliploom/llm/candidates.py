@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.llm.shingles import RUN, Plan, band_hashes, jaccard, sets_of, signatures, sketches
@@ -142,16 +142,35 @@ def sketch_rows(texts: DataFrame, run: int = RUN) -> DataFrame:
     return texts.select("uid", "key").mapInArrow(run_batches, "uid bigint, filled bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
-def likely(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sketches agree as much as pairs at the threshold do, less ``SKETCH_SIGMAS`` deviations; adds
-    ``agree``. A deviation counts with the bins the poorer text filled, so short texts get a wider margin."""
-    side = lambda df, c: df.select(F.col("uid").alias(c), F.col("filled").alias(f"{c}_f"), *(F.col(f"s{i}").alias(f"{c}{i}") for i in range(4)))
-    both = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+def _differing_bits(a: str, b: str) -> Column:
+    bits = [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(4)]
+    return bits[0] + bits[1] + bits[2] + bits[3]
+
+
+def _least_agreement(threshold: float) -> Column:
+    """Bits that must agree: what pairs at the threshold show on average, less ``SKETCH_SIGMAS`` deviations. A deviation
+    counts with the bins the poorer text filled, so short texts get a wider margin."""
     expected = (1 + threshold) / 2
     bins = F.greatest(F.lit(1.0), 0.8 * F.least("a_f", "b_f"))
-    least = SKETCH_SIZE * (expected - SKETCH_SIGMAS * F.sqrt(F.lit(expected * (1 - expected)) / bins))
-    return both.withColumn("agree", F.lit(SKETCH_SIZE) - differ).filter(F.col("agree") >= least).select("a", "b", "agree")
+    return SKETCH_SIZE * (expected - SKETCH_SIGMAS * F.sqrt(F.lit(expected * (1 - expected)) / bins))
+
+
+def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
+    return df.select(F.col("uid").alias(name), F.col("filled").alias(f"{name}_f"), *(F.col(f"s{i}").alias(f"{name}{i}") for i in range(4)), *more)
+
+
+def likely(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose sketches agree enough; adds ``agree``, the number of equal bits."""
+    both = pairs.join(_side(left, "a"), "a").join(_side(right, "b"), "b")
+    both = both.withColumn("agree", F.lit(SKETCH_SIZE) - _differing_bits("a", "b"))
+    return both.filter(F.col("agree") >= _least_agreement(threshold)).select("a", "b", "agree")
+
+
+def sketched_pairs(left: DataFrame, right: DataFrame, threshold: float, same: str, other: str) -> DataFrame:
+    """Pairs (a, b) of sketched rows with the same ``same``, different ``other`` and sketches that agree enough."""
+    l, r = _side(left, "a", same, F.col(other).alias("_l")), _side(right, "b", same, F.col(other).alias("_r"))
+    enough = (F.lit(SKETCH_SIZE) - _differing_bits("a", "b")) >= _least_agreement(threshold)
+    return l.join(r, same).filter((F.col("_l") != F.col("_r")) & enough).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, run: int = RUN) -> DataFrame:

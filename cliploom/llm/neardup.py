@@ -3,8 +3,8 @@
 Method: one-permutation hashing with optimal densification over runs of ten letters and digits, banded buckets, and
 star-shaped candidate edges: a bucket links its members to one centre, so its pairs grow with its size and not with the
 square of it. Candidates pass a 256-bit sketch and then the exact comparison. A member that a centre turned away may
-still belong to another member of the bucket, so such rests get a new centre, round after round, until no bucket holds
-two members that are in different groups and have not met a common centre.
+still belong to another member of the bucket, so once the centres' edges have made groups, members of buckets that are
+still in different groups are compared too.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm.candidates import band_rows, confirmed, likely, numbered, sketch_rows, star_pairs
+from cliploom.llm.candidates import band_rows, confirmed, likely, numbered, sketch_rows, sketched_pairs, star_pairs
 from cliploom.llm.components import components
 from cliploom.llm.ledger import members_of
 from cliploom.llm.shingles import RUN, Plan, plan_for
@@ -98,19 +98,10 @@ def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int =
     edges.append(work.put(confirmed(open_, some, some, threshold, run), "edges1"))
     labels = work.put(components(reduce(DataFrame.unionByName, edges)), "labels1")
 
-    turn = 2
-    while True:
-        rest, tries = _next_centres(rest, labels)
-        rest = work.put(rest, f"rest{turn}")
-        tries = work.put(tries, f"tries{turn}")
-        if tries.isEmpty():
-            break
-        near = likely(tries.distinct(), sketch, sketch, threshold)
-        found = work.put(confirmed(near, some, some, threshold, run), f"edges{turn}")
-        if not found.isEmpty():
-            edges.append(found)
-            labels = work.put(components(reduce(DataFrame.unionByName, edges)), f"labels{turn}")
-        turn += 1
+    missed = _pairs_besides_centre(work, rest, labels, sketch, threshold)
+    edges.append(work.put(confirmed(missed, some, some, threshold, run), "edges2"))
+    if not edges[-1].isEmpty():
+        labels = work.put(components(reduce(DataFrame.unionByName, edges)), "labels2")
 
     # Back to rows: each text's group, each row by its first caption.
     group = texts.join(labels, "uid").select("tbl", F.col("digest").alias("key"), F.col("comp"))
@@ -129,20 +120,19 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _next_centres(rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets without their last centre and the members in its group, and the pairs of their new centres. The centre of a
-    bucket is its smallest uid, so only one row per bucket is carried to its members."""
-    placed = rest.select("bucket", "uid").join(labels, "uid", "left").select("bucket", "uid", F.coalesce("comp", "uid").alias("comp"))
-    left = _without_centre(placed)
-    centre = left.groupBy("bucket").agg(F.min("uid").alias("a"), F.min_by("comp", "uid").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
-    alive = centre.filter("_lo <> _hi")
-    tries = left.join(alive, "bucket").filter("comp <> _c").select("a", F.col("uid").alias("b"))
-    return left.join(alive.select("bucket"), "bucket", "left_semi").select("bucket", "uid"), tries
+def _pairs_besides_centre(work: Work, rest: DataFrame, labels: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs (a, b) of bucket members that are in different groups and of which neither is the bucket's centre.
 
-
-def _without_centre(placed: DataFrame) -> DataFrame:
-    centre = placed.groupBy("bucket").agg(F.min_by("comp", "uid").alias("_c"))
-    return placed.join(centre, "bucket").filter("comp <> _c").select("bucket", "uid", "comp")
+    Each such pair has a member outside the centre's group, so only these are set against the bucket; the sketches decide
+    inside the join and only likely pairs leave it. Members of one group are never paired.
+    """
+    placed = rest.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("comp", "uid").alias("comp"))
+    info = placed.groupBy("bucket").agg(F.min("uid").alias("centre"), F.min_by("comp", "uid").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    held = placed.join(info.filter("lo <> hi").drop("lo", "hi"), "bucket").filter("uid <> centre").join(sketch, "uid").drop("centre")
+    held = work.put(held, "held")
+    outside = held.filter("comp <> home")
+    pairs = sketched_pairs(outside, held, threshold, "bucket", "comp")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def caption_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
