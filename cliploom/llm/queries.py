@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import encode, ledger, neardup
+from cliploom.llm import encode, ledger, neardup, overlap
 from cliploom.session import table
 
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": ledger.p1_found,
         "p1_counts": ledger.p1_counts,
         "p4_found": neardup.p4_found,
+        "p5_found": overlap.p5_found,
+        "p5_report": overlap.p5_report,
         "p6_ids": p6_ids,
     }
 
