@@ -18,6 +18,8 @@ from cliploom.llm.shingles import RUN, Plan, band_hashes, jaccard, sets_of, sign
 
 #: Texts of a band that one task sorts; beyond, the band is split by its upper hash bits.
 PART_TEXTS = 8_000_000
+#: Texts whose signatures are held at once.
+SIGNED_TEXTS = 5_000
 #: Deviations below the expected agreement at the threshold up to which a pair still goes to the exact check.
 SKETCH_SIGMAS = 4.5
 SKETCH_SIZE = 256
@@ -60,20 +62,19 @@ def band_rows(texts: DataFrame, plan: Plan, total: int, run: int = RUN, side: in
             uids, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             breaks = np.flatnonzero(np.diff(uids) != 1) + 1
             for a, b in zip([0, *breaks], [*breaks, len(uids)]):
-                yield from emit(uids[a:b], keys[a:b])
+                for c in range(a, b, SIGNED_TEXTS):
+                    yield from emit(uids[c : min(b, c + SIGNED_TEXTS)], keys[c : min(b, c + SIGNED_TEXTS)])
 
     schema = "band int, part int, side int, base bigint, n bigint, hashes binary, at binary"
     return texts.select("uid", "key").mapInArrow(run_batches, schema)
 
 
 def _bucket_arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes sorted, with uid and side of each, keeping only hashes that occur at least twice."""
-    hashes, uids, sides = [], [], []
-    for base, n, h, at, side in zip(*(rows.column(c).to_pylist() for c in ("base", "n", "hashes", "at", "side"))):
-        hashes.append(np.frombuffer(h, np.uint32))
-        uids.append(base + (np.arange(n) if at is None else np.frombuffer(at, np.uint32).astype(np.int64)))
-        sides.append(np.full(n, side, np.int8))
-    h, u, s = np.concatenate(hashes), np.concatenate(uids), np.concatenate(sides)
+    """Hashes that occur at least twice, sorted, with uid and side of each. Uids are worked out for these only."""
+    base, sizes, sides = (rows.column(c).to_numpy() for c in ("base", "n", "side"))
+    blobs = rows.column("hashes").to_pylist()
+    h = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs])
+    del blobs
     order = np.argsort(h)
     h = h[order]
     same = h[1:] == h[:-1]
@@ -81,9 +82,16 @@ def _bucket_arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] |= same
     keep[:-1] |= same
     order, h = order[keep], h[keep]
-    u, s = u[order], s[order]
-    tidy = np.lexsort((u, h))
-    return h[tidy], u[tidy], s[tidy]
+    starts = np.cumsum(sizes) - sizes
+    row = np.searchsorted(starts, order, side="right") - 1
+    offset = order - starts[row]
+    uids = base[row] + offset
+    for i, at in enumerate(rows.column("at").to_pylist()):
+        if at is not None:
+            here = row == i
+            uids[here] = base[i] + np.frombuffer(at, np.uint32)[offset[here]]
+    tidy = np.lexsort((uids, h))
+    return h[tidy], uids[tidy], sides[row][tidy]
 
 
 STARS = "a bigint, b bigint, bucket bigint"
