@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import encode, ledger, neardup, overlap
+from cliploom.llm import encode, language, ledger, neardup, overlap
 from cliploom.session import table
 
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": overlap.p5_found,
         "p5_report": overlap.p5_report,
         "p6_ids": p6_ids,
+        "p8_found": language.p8_found,
+        "p8_spans": language.p8_spans,
     }
 
 
