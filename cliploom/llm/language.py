@@ -6,8 +6,8 @@ n-gram is out of place there; one that the profile lacks counts as far as the pr
 are compared, whole batches at a time; the page's stretches are the cheapest cut of its sentences into runs of at least
 two in one language.
 
-The sample sentences are few, so profiles are fitted twice: from them, and then from the sentences of a bounded sample of
-labelled documents whose own language by the first profiles is the one their label names.
+The sample sentences are few, so profiles are fitted again: from them first, then twice from the sentences of a bounded sample of
+labelled documents, as far as the profiles before put them in the language that the label names.
 
 Letters are folded to base letters, so missing accents and composed or decomposed forms are the same.
 """
@@ -216,7 +216,7 @@ class Profiles:
         return distance, weight / np.maximum(total, 1), kinds / np.maximum(weight, 1)
 
 
-def stretches(costs: np.ndarray, weights: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+def stretches(costs: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The language of each sentence when every run has at least two sentences (unless the page has only one), by least
     total distance plus ``switch`` for each change."""
     n, k = costs.shape
@@ -248,17 +248,25 @@ def stretches(costs: np.ndarray, weights: np.ndarray, switch: float = SWITCH) ->
     return out
 
 
-def refit(profiles: Profiles, samples: list[tuple[str, str]], labelled: Iterable[tuple[str | None, str]], size: int = PROFILE) -> Profiles:
-    """Profiles from the samples and from those sentences of labelled pages that ``profiles`` assigns to the label."""
+def refit(profiles: Profiles, samples: list[tuple[str, str]], labelled: Iterable[tuple[str | None, str]], size: int = PROFILE, turns: int = 2) -> Profiles:
+    """Profiles from the samples and from those stretches of labelled pages that are in the language of the label."""
     pages = [(label_language(label), sentences(text)) for label, text in labelled]
     pages = [(lang, page) for lang, page in pages if lang in profiles.languages and page]
     distinct = sorted({s for _, page in pages for s in page})
-    nearest: dict[str, str] = {}
-    for at in range(0, len(distinct), 2000):
-        part = distinct[at : at + 2000]
-        nearest.update(zip(part, (profiles.languages[i] for i in profiles.distances(part)[0].argmin(axis=1))))
-    fit = set(samples) | {(lang, s) for lang, page in pages for s in page if nearest[s] == lang}
-    return Profiles.train(sorted(fit), size)
+    for _ in range(turns):
+        place: dict[str, np.ndarray] = {}
+        for at in range(0, len(distinct), 2000):
+            part = distinct[at : at + 2000]
+            distance, known, _ = profiles.distances(part)
+            place.update((s, d) for s, d, k in zip(part, distance, known) if k >= KNOWN_SHARE)
+        fit = set(samples)
+        for lang, page in pages:
+            page = [s for s in page if s in place]
+            if page:
+                own = stretches(np.array([place[s] for s in page])) == profiles.languages.index(lang)
+                fit.update((lang, s) for s, yes in zip(page, own) if yes)
+        profiles = Profiles.train(sorted(fit), size)
+    return profiles
 
 
 class Detector:
@@ -285,7 +293,7 @@ class Detector:
             yield self._page(np.array([d for d, _ in rated]), np.array([n for _, n in rated])) if rated else []
 
     def _page(self, costs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, str, float, int]]:
-        lang = stretches(costs, sizes)
+        lang = stretches(costs)
         cuts = np.r_[0, np.flatnonzero(lang[1:] != lang[:-1]) + 1, len(lang)]
         names = self.profiles.languages
         shares = np.bincount(lang, weights=sizes, minlength=len(names))

@@ -20,7 +20,7 @@ _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 #: A line that begins so is a table, a heading, a redirect, a rest of a template or a file of a gallery.
 _NO_PROSE = ("{", "|", "!", "}", "=", "[[", "----", "#")
 _FILE_LINE = re.compile(r"[^\W\d_]{2,14}:[^\s:]*\.[A-Za-z]{3,4}\b")
-_END = re.compile(r"""(?<=[.!?…])["'”»“’)\]]*\s+|(?<=[。！？])["'”»“’)）」』]*\s*""")
+_END = re.compile(r"""(?<=[.!?…])["'”»“’)\]]*\s+|(?<=[。！？])["'”»“’)）」』]*\s*|(?<=[.!?])(?=[\u3400-\u9fff])""")
 #: A quotation or an aside in a sentence, which may be in another language.
 _QUOTED = re.compile(r"""[(（][^()（）]{1,300}[)）]|„[^„“”]{1,200}[“”]|“[^“”]{1,200}”|«[^«»]{1,200}»|"[^"]{1,200}"|「[^「」]{1,200}」|''[^']{2,200}''""")
 _TERMINATED = re.compile(r"""[.!?…。！？]["'”»“’)\]）」』]*$""")
