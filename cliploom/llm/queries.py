@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import encode, language, ledger, neardup, overlap
+from cliploom.llm import encode, language, ledger, mixing, neardup, overlap
 from cliploom.session import table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": ledger.p1_found,
         "p1_counts": ledger.p1_counts,
+        "p2_mix": mixing.p2_mix,
+        "p2_shares": mixing.p2_shares,
         "p4_found": neardup.p4_found,
         "p5_found": overlap.p5_found,
         "p5_report": overlap.p5_report,
@@ -29,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(mixing.SQL)
