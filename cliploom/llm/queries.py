@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import encode, language, ledger, mixing, neardup, overlap
+from cliploom.llm import coverage, encode, language, ledger, mixing, neardup, overlap
 from cliploom.session import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_counts": ledger.p1_counts,
         "p2_mix": mixing.p2_mix,
         "p2_shares": mixing.p2_shares,
+        "p3_subset": coverage.p3_subset,
         "p4_found": neardup.p4_found,
         "p5_found": overlap.p5_found,
         "p5_report": overlap.p5_report,
