@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import coverage, encode, language, ledger, mixing, neardup, overlap
+from cliploom.llm import coverage, encode, language, ledger, mixing, neardup, overlap, packing
 from cliploom.session import table
 
 
@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": overlap.p5_found,
         "p5_report": overlap.p5_report,
         "p6_ids": p6_ids,
+        "p7_containers": packing.p7_containers,
+        "p7_fill": packing.p7_fill,
         "p8_found": language.p8_found,
         "p8_spans": language.p8_spans,
     }
