@@ -14,9 +14,9 @@ from cliploom.functions.shapes import padded
 
 ACTION = "struct<keys:string,mouse:string>"
 
-# How directories spell mouse directions. Arrows themselves are not spelled so.
+# How directories spell mouse directions. Other arrows than the idle one are not spelled as themselves.
 MOUSE_NAMES = {
-    "Right": "→", "Left": "←", "Up": "↑", "Down": "↓", "Up_Right": "↑→", "Up_Left": "↑←", "Down_Right": "↓→", "Down_Left": "↓←", "None": "·",
+    "Up": "↑", "Down": "↓", "Left": "←", "Right": "→", "Up_Left": "↑←", "Up_Right": "↑→", "Down_Left": "↓←", "Down_Right": "↓→", "·": "·",
 }
 
 
@@ -26,11 +26,11 @@ def action(keys: Column | str, mouse: Column | str) -> Column:
 
 
 def action_of_directory(name: Column, names: dict[str, str] = MOUSE_NAMES) -> Column:
-    """Action of Keys_<keys>_Mouse_<mouse>; "_" in keys means "+", an unknown mouse word no movement; null for other names."""
+    """Action of Keys_<keys>_Mouse_<mouse>; "_" in keys means "+", an unknown mouse word no movement; other names are idle."""
     keys = F.replace(F.regexp_extract(name, r"^Keys_(.+)_Mouse_(.+)$", 1), F.lit("_"), F.lit("+"))
     known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
     mouse = F.coalesce(known[F.regexp_extract(name, r"^Keys_(.+)_Mouse_(.+)$", 2)], F.lit(IDLE[1]))
-    return F.when(name.rlike(r"^Keys_(.+)_Mouse_(.+)$"), action(keys, mouse))
+    return F.when(name.rlike(r"^Keys_(.+)_Mouse_(.+)$"), action(keys, mouse)).when(name.isNotNull(), action(*IDLE))
 
 
 def action_of_line(line: Column) -> Column:

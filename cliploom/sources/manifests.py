@@ -110,7 +110,7 @@ def action_files(listing: DataFrame, path_col: str = "path") -> DataFrame:
     """(video, start_frame, end_frame, keys, mouse) from Keys_<keys>_Mouse_<mouse>/<video>_frames_<start>-<end>.mp4."""
     from cliploom.functions.actions import action_of_directory
 
-    pattern = r"([^/]+)/([^/]+)_frames_(\d+)-(\d+)\.[A-Za-z0-9]+$"
+    pattern = r"(Keys_[^/]+_Mouse_[^/]+)/([^/]+)_frames_(\d+)-(\d+)\.[A-Za-z0-9]+$"
     part = lambda i: F.regexp_extract(path_col, pattern, i)
-    rows = listing.filter(F.col(path_col).rlike(pattern)).withColumn("_a", action_of_directory(part(1))).filter("_a is not null")
+    rows = listing.filter(F.col(path_col).rlike(pattern)).withColumn("_a", action_of_directory(part(1)))
     return rows.select(part(2).alias("video"), part(3).cast("int").alias("start_frame"), part(4).cast("int").alias("end_frame"), F.col("_a.keys").alias("keys"), F.col("_a.mouse").alias("mouse"))
