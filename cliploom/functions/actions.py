@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,19 +140,27 @@ def segments_of_caption(prompt: pd.Series) -> pd.Series:
     return prompt.map(lambda p: [{"keys": k, "mouse": m} for k, m in camera_segments(p if isinstance(p, str) else None)])
 
 
-def resolved_actions(chunks: int, chunk_json: Column, keys: Column, mouse: Column, original: Column, prompt: Column, text_actions: Column | None = None, column_null: bool = False) -> Column:
-    """struct(actions, source): the actions of a row by precedence: its own JSON, a shared action text, its key and mouse
-    columns, its original caption, its caption.
+def with_actions(df: DataFrame, chunks: int, text_actions: Column | None = None, null_is_text: bool = False) -> DataFrame:
+    """Adds actions and action_source: the actions of a row by precedence: its chunk_actions_json, a shared action text,
+    its action_keys and action_mouse, its prompt_original, its refined_prompt or prompt.
 
-    Blank values pass on to the next tier; so does broken JSON and, unless ``column_null``, a null key or mouse.
+    Blank values and broken JSON pass on to the next tier. So does a null key or mouse, unless ``null_is_text``, which
+    reads it as the word "nan". Captions are parsed only for rows that no earlier tier settles.
     """
-    given = actions_of_json(F.nullif(F.trim(chunk_json), F.lit("")))
-    given = F.when(F.size(given) > 0, padded(given, chunks))
+    own = actions_of_json(F.nullif(F.trim("chunk_actions_json"), F.lit("")))
+    own = F.when(F.size(own) > 0, padded(own, chunks))
     shared = padded(text_actions, chunks) if text_actions is not None else F.lit(None).cast(f"array<{ACTION}>")
-    pair = F.array_repeat(action(F.coalesce(keys, F.lit("nan")), F.coalesce(mouse, F.lit("nan"))), chunks)
-    columns = pair if column_null else F.when(keys.isNotNull() & mouse.isNotNull(), pair)
-    from_original = F.when(F.trim(original) != "", spread(segments_of_caption(original), chunks))
-    from_prompt = spread(segments_of_caption(prompt), chunks)
-    tiers = [("chunk_actions_json", given), ("action_text", shared), ("columns", columns), ("prompt_original", from_original), ("prompt", from_prompt)]
-    source = F.coalesce(*(F.when(t.isNotNull(), F.lit(n)) for n, t in tiers))
-    return F.struct(F.coalesce(*(t for _, t in tiers)).alias("actions"), source.alias("source"))
+    keys, mouse = F.col("action_keys"), F.col("action_mouse")
+    if null_is_text:
+        pair = F.array_repeat(action(F.coalesce(keys, F.lit("nan")), F.coalesce(mouse, F.lit("nan"))), chunks)
+    else:
+        pair = F.when(keys.isNotNull() & mouse.isNotNull(), F.array_repeat(action(keys, mouse), chunks))
+    out = df.withColumns({"_a0": own, "_a1": shared, "_a2": pair})
+    settled = F.coalesce("_a0", "_a1", "_a2").isNotNull()
+    original = F.when(~settled & (F.trim("prompt_original") != ""), F.col("prompt_original"))
+    plain = F.when(~settled & original.isNull(), F.coalesce("refined_prompt", "prompt"))
+    out = out.withColumns({"_o": original, "_s": segments_of_caption(F.coalesce(original, plain))})
+    out = out.withColumn("_a3", F.when(F.col("_o").isNotNull(), spread(F.col("_s"), chunks))).withColumn("_a4", spread(F.col("_s"), chunks))
+    names = ("chunk_actions_json", "action_text", "columns", "prompt_original", "prompt")
+    source = F.coalesce(*(F.when(F.col(f"_a{i}").isNotNull(), F.lit(n)) for i, n in enumerate(names)))
+    return out.withColumn("actions", F.coalesce(*(f"_a{i}" for i in range(5)))).withColumn("action_source", source).drop("_o", "_s", *(f"_a{i}" for i in range(5)))
