@@ -68,7 +68,7 @@ def captions_last_wins(df: DataFrame, name: str, order: str) -> DataFrame:
 def prompt_lines(spark: SparkSession, path: str, keep_blank_numbers: bool = False) -> DataFrame:
     """(line_no, prompt, uttid) of the non-blank lines of a text file. Numbers count all lines, or the non-blank ones only."""
     stem_of = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1), r"\.[^.]+$", "")
-    text = spark.read.option("wholetext", True).text(path).select(stem_of.alias("stem"), F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n").alias("lines"))
+    text = spark.read.text(path, wholetext=True).select(stem_of.alias("stem"), F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n").alias("lines"))
     kept = "lines" if keep_blank_numbers else F.filter("lines", lambda x: F.trim(x) != "")
     rows = text.select("stem", F.posexplode(kept).alias("line_no", "line")).filter(F.trim("line") != "")
     return rows.select("line_no", F.trim("line").alias("prompt"), F.format_string("%s_%05d", "stem", "line_no").alias("uttid"))

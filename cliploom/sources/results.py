@@ -17,10 +17,10 @@ def read_results(spark: SparkSession, pattern: str, valid: list[str] | None = No
     The metric is the file's name, the model its folder. Documents of metrics that are not ``valid`` fall out; unreadable
     ones stay, with nulls and unreadable = true, to be reported instead of lost.
     """
-    docs = spark.read.schema(RESULT + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
-    path = F.input_file_name()
-    name = F.regexp_extract(path, r"([^/]*)_results\.json$", 1)
-    out = docs.select(F.regexp_extract(path, r"([^/]*)/[^/]*$", 1).alias("model"), canonical_metric(name).alias("metric"), "average_score", "average_drift_score", "num_videos", F.col("per_video_results").alias("items"), F.col("_corrupt_record").isNotNull().alias("unreadable"))
+    raw = spark.read.text(pattern, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", RESULT + ", _corrupt_record string").alias("r"))
+    name = F.regexp_extract("path", r"([^/]*)_results\.json$", 1)
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    out = raw.select(F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("model"), canonical_metric(name).alias("metric"), "r.average_score", "r.average_drift_score", "r.num_videos", F.col("r.per_video_results").alias("items"), bad.alias("unreadable"))
     return out if valid is None else out.filter(F.col("metric").isin(valid))
 
 
