@@ -20,6 +20,8 @@ from cliploom.llm.shingles import RUN, Plan, band_hashes, jaccard, sets_of, sign
 PART_TEXTS = 8_000_000
 #: Texts whose signatures are held at once.
 SIGNED_TEXTS = 5_000
+#: Pairs whose texts' runs are held at once in the exact check.
+CHECKED_PAIRS = 500
 #: Deviations below the expected agreement at the threshold up to which a pair still goes to the exact check.
 SKETCH_SIGMAS = 4.5
 SKETCH_SIZE = 256
@@ -190,13 +192,13 @@ def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: fl
 
 def exact_check(threshold: float, run: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            distinct = list(dict.fromkeys(texts[0] + texts[1]))
-            sets = dict(zip(distinct, sets_of(distinct, run)))
-            ok = pa.array([jaccard(sets[x], sets[y]) >= threshold for x, y in zip(*texts)], pa.bool_())
-            yield batch.select([0, 1]).filter(ok)
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHECKED_PAIRS):
+                batch = whole.slice(at, CHECKED_PAIRS)
+                texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                distinct = list(dict.fromkeys(texts[0] + texts[1]))
+                sets = dict(zip(distinct, sets_of(distinct, run)))
+                ok = pa.array([jaccard(sets[x], sets[y]) >= threshold for x, y in zip(*texts)], pa.bool_())
+                yield batch.select([0, 1]).filter(ok)
 
     return check
