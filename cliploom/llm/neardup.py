@@ -143,3 +143,26 @@ def caption_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of toy_filter and of prompt_table in groups of similar text: the smallest key and each other member."""
     return similar_groups(caption_entries(spark, sf_dir))
+
+
+SQL = {
+    "p4_found": r"""
+WITH RECURSIVE sets AS (
+  SELECT 'toy_filter' AS tbl, clip_id AS id, list_sort(list_distinct(list_filter(list_transform(cap, lambda c: lower(regexp_replace(c, '[^\p{L}\p{N}]+', '', 'g'))), lambda k: k <> ''))) AS s FROM toy_filter
+  UNION ALL SELECT 'prompt_table', prompt_id, list_filter([lower(regexp_replace(prompt, '[^\p{L}\p{N}]+', '', 'g'))], lambda k: k <> '') FROM prompt_table),
+held AS (SELECT * FROM sets WHERE len(s) > 0),
+entry AS (SELECT tbl, id, unnest(s) AS k FROM held),
+texts AS (SELECT tbl, k, row_number() OVER () AS t FROM (SELECT DISTINCT tbl, k FROM entry WHERE length(k) >= 10)),
+runs AS (SELECT tbl, t, len(g) AS n, unnest(g) AS g FROM (SELECT tbl, t, list_distinct(list_transform(range(1, length(k) - 8), lambda i: substr(k, i, 10))) AS g FROM texts)),
+shared AS (SELECT a.t AS a, b.t AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS common FROM runs a JOIN runs b ON a.g = b.g AND a.tbl = b.tbl AND a.t < b.t GROUP BY 1, 2),
+near AS (SELECT a, b FROM shared WHERE 2 * common >= an + bn - common UNION ALL SELECT t, t FROM texts),
+place AS (SELECT tbl, id, t FROM entry JOIN texts USING (tbl, k)),
+first_of AS (SELECT t, min(id) AS id FROM place GROUP BY 1),
+link AS (
+  SELECT p.tbl, p.id AS x, f.id AS y FROM place p JOIN first_of f USING (t)
+  UNION SELECT x.tbl, fx.id, fy.id FROM near JOIN texts x ON x.t = a JOIN first_of fx ON fx.t = a JOIN first_of fy ON fy.t = b
+  UNION SELECT tbl, id, min(id) OVER (PARTITION BY tbl, s) FROM held),
+both_ways AS (SELECT tbl, x, y FROM link WHERE x <> y UNION SELECT tbl, y, x FROM link WHERE x <> y),
+reached AS (SELECT DISTINCT tbl, x AS id, x AS other FROM both_ways UNION SELECT r.tbl, r.id, w.y FROM reached r JOIN both_ways w ON w.tbl = r.tbl AND w.x = r.other)
+SELECT tbl, min(other) AS keep_id, id AS dup_id FROM reached GROUP BY tbl, id HAVING min(other) <> id""",
+}

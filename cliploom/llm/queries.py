@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return ledger.SQL | mixing.SQL
+    return ledger.SQL | mixing.SQL | neardup.SQL | overlap.SQL
