@@ -23,3 +23,9 @@ def positions(df: DataFrame, order: list[Column], name: str = "position") -> Dat
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     # one row per partition of the table written above
     return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit(_LOW))).drop("_part", "_before", "_id")
+
+
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """The rows with the columns of a one-row table, such as an overall count, by an equi-join on a constant."""
+    one = totals.withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cliploom.operators.ordering import positions
+from cliploom.operators.ordering import positions, with_totals
 
 
 def shuffle_key(ident: Column, seed: str | int, epoch: Column | int = 0) -> Column:
@@ -38,8 +38,7 @@ def padded_shards(df: DataFrame, order: list[Column], world: int, drop_last: boo
     """Adds rank and place: rows dealt out in turn. The rows that lack to a multiple of ``world`` are the first ones once
     more; with drop_last the rows beyond a multiple fall out instead."""
     placed = positions(df, order, "place")
-    n = F.broadcast(placed.agg(F.count(F.lit(1)).alias("_n")))  # one row
-    placed = placed.crossJoin(n)
+    placed = with_totals(placed, placed.agg(F.count(F.lit(1)).alias("_n")))
     if drop_last:
         out = placed.filter(F.col("place") < F.col("_n") - F.col("_n") % world)
     else:
@@ -77,8 +76,8 @@ def _ranked(df: DataFrame, group: str, ident: str, seed: str | int) -> DataFrame
 def equal_sample(df: DataFrame, group: str, ident: str, seed: str | int = 0) -> DataFrame:
     """As many rows of every group as the smallest one has."""
     ranked = _ranked(df, group, ident, seed)
-    least = F.broadcast(df.groupBy(group).count().agg(F.min("count").alias("_least")))  # one row
-    return ranked.crossJoin(least).filter(F.col("_rank") < F.col("_least")).drop("_rank", "_size", "_least")
+    least = df.groupBy(group).count().agg(F.min("count").alias("_least"))
+    return with_totals(ranked, least).filter(F.col("_rank") < F.col("_least")).drop("_rank", "_size", "_least")
 
 
 def batches(df: DataFrame, bucket: str, ident: str, size: int, seed: str | int = 0, drop_last: bool = True) -> DataFrame:

@@ -91,8 +91,9 @@ def positional_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ordering.positions(table(spark, sf_dir, "eval_prompt").select("id"), [F.col("id")])
     s = ordering.positions(table(spark, sf_dir, "lang_sample").select("sample_id"), [F.col("sample_id")])
     c = ordering.positions(table(spark, sf_dir, "data_config").select("config_id"), [F.col("config_id")])
-    sizes = [F.broadcast(d.agg(F.count(F.lit(1)).alias(n))) for d, n in ((s, "ns"), (c, "nc"))]
-    keyed = p.crossJoin(sizes[0]).crossJoin(sizes[1]).select("id", "position", (F.col("position") % F.col("ns")).alias("sp"), (F.col("position") % F.col("nc")).alias("cp"))
+    for d, n in ((s, "ns"), (c, "nc")):
+        p = ordering.with_totals(p, d.agg(F.count(F.lit(1)).alias(n)))
+    keyed = p.select("id", "position", (F.col("position") % F.col("ns")).alias("sp"), (F.col("position") % F.col("nc")).alias("cp"))
     out = keyed.join(s.withColumnRenamed("position", "sp"), "sp").join(c.withColumnRenamed("position", "cp"), "cp")
     return out.select("position", "id", "sample_id", "config_id")
 
