@@ -172,6 +172,43 @@ def test_signatures_estimate_similarity():
     assert shingles.jaccard(*shingles.sets_of([base, other])) == pytest.approx(true)
 
 
+SIZES = [2_000_000, 40_000_000, 40_000_001]
+
+
+@pytest.mark.parametrize("texts", SIZES)
+def test_no_plan_misses_more_than_the_first(texts):
+    missed = lambda plan, s: (1 - s**plan.rows) ** plan.bands
+    plan, first = shingles.plan_for(texts), shingles.plan_for(1)
+    assert all(missed(plan, s / 100) <= missed(first, s / 100) for s in range(50, 101))
+    assert missed(plan, 0.5) < 0.048 and missed(plan, 0.55) < 0.0071
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = []
+    for _ in range(2000):
+        base = letters(360)
+        pairs.append((base, base[:244] + letters(116)))
+    least = [shingles.jaccard(*shingles.sets_of(list(p))) for p in pairs[:100]]
+    assert min(least) >= 0.5 and max(least) < 0.52
+    a, b = (shingles.band_hashes(shingles.signatures(list(side), plan.bins)[0], plan) for side in zip(*pairs))
+    assert 1 - (a == b).any(axis=0).mean() < 0.055
+
+
+@pytest.mark.parametrize("texts", SIZES)
+def test_each_plan_against_brute_force(spark, table_of, texts):
+    """A plan may miss 4.75 % of the pairs at the threshold and finds nearly all others; what it finds is right."""
+    plan, (rows, df) = shingles.plan_for(texts), table_of
+    home = {i: keep for keep, i in groups(rows)}
+    entries = neardup.entries_of(df, "toy_filter", "clip_id", df["cap"])
+    got = {(r.keep_id, r.dup_id) for r in neardup.similar_groups(entries, plan=plan).collect()}
+    assert all(home.get(a, a) == home[b] for a, b in got) and len(got) >= len(home) - 2
+    held = df.filter("clip_id % 3 = 0").select("clip_id", F.get("cap", F.lit(0)).alias("prompt"))
+    pairs = overlap.overlapping_pairs(overlap.text_entries(held, "clip_id", "prompt"), overlap.array_entries(df, "clip_id", "cap"), plan=plan)
+    sides = [[(r.clip_id, norm(r.prompt or "")) for r in held.collect()], [(i, norm(c)) for i, caps in rows.items() for c in caps or [] if c]]
+    expected = {(i, k) for i, x in sides[0] for k, y in sides[1] if similar(x, y)}
+    found = {(r.eval_id, r.train_id) for r in pairs.collect()}
+    assert found <= expected and len(found) > 0.98 * len(expected)
+
+
 @pytest.mark.parametrize("small", [0, 3, 10**6])
 def test_components(spark, small):
     rng = random.Random(small)
