@@ -22,6 +22,9 @@ PART_TEXTS = 8_000_000
 SIGNED_TEXTS = 5_000
 #: Pairs whose texts' runs are held at once in the exact check.
 CHECKED_PAIRS = 500
+#: Pairs of a bucket beyond which its members are compared by sketches in pieces of PIECE, without making its pairs.
+LARGE_BUCKET = 1 << 12
+PIECE = 512
 #: Deviations below the expected agreement at the threshold up to which a pair still goes to the exact check.
 SKETCH_SIGMAS = 4.5
 SKETCH_SIZE = 256
@@ -119,26 +122,70 @@ def star_pairs(bands: DataFrame) -> DataFrame:
     return bands.groupBy("band", "part").applyInArrow(stars, STARS)
 
 
+CROSS = "a bigint, b bigint, bucket bigint, piece int, others int"
+
+
 def cross_pairs(bands: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(a, b): members of side 0 with members of side 1 of the same bucket, made in blocks; pairs within a side never
-    arise. Each wanted pair must come out by itself here, so stars would not do."""
-
-    def cross(rows: pa.Table) -> pa.Table:
-        h, u, s = _bucket_arrays(rows)
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        group = np.cumsum(np.r_[0, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        left, right = s == 0, s == 1
-        n_right = np.bincount(group[right], minlength=len(first))
-        starts = np.cumsum(n_right) - n_right
-        u_right, a_all, g_all = u[right], u[left], group[left]
+    """(a, b, bucket, piece, others): members of side 0 with members of side 1 of the same bucket, in tables of at most
+    ``block`` rows; pairs within a side never arise. Each wanted pair must come out by itself here, so stars would not do.
+
+    A bucket of more than ``LARGE_BUCKET`` pairs gives its members instead, each as a row with a null other side, its piece
+    of ``PIECE`` members and the number of the other side's pieces; ``large_bucket_pairs`` compares them.
+    """
+
+    def cross(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, u, s = _bucket_arrays(pa.Table.from_batches(batches))
+        if not len(h):
+            return
+        new = np.r_[True, h[1:] != h[:-1]]
+        group, name = np.cumsum(new) - 1, (key[0].as_py() << 32) | h[new].astype(np.int64)
+        sides = []
+        for side in (0, 1):
+            members, of = u[s == side], group[s == side]
+            n = np.bincount(of, minlength=len(name))
+            sides.append((members, of, n, np.cumsum(n) - n))
+        (a_all, g_all, n_left, _), (u_right, _, n_right, starts) = sides
+        large = n_left * n_right > LARGE_BUCKET
+        small = (n_right[g_all] > 0) & ~large[g_all]
+        a_all, g_all = a_all[small], g_all[small]
         many = n_right[g_all]
-        a_all, g_all, many = a_all[many > 0], g_all[many > 0], many[many > 0]
-        a = np.repeat(a_all, many)
-        within = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many)
-        b = u_right[np.repeat(starts[g_all], many) + within] if len(a) else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ends = np.cumsum(many)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, block):
+            place = np.arange(at, min(at + block, int(ends[-1])))
+            row = np.searchsorted(ends, place, side="right")
+            b = u_right[starts[g_all[row]] + place - (ends[row] - many[row])]
+            yield _cross_batch(len(place), a=a_all[row], b=b)
+        for side, (members, of, _, first) in enumerate(sides):
+            other = -(-sides[1 - side][2] // PIECE)
+            here = np.flatnonzero(large[of])
+            for at in range(0, len(here), block):
+                i = here[at : at + block]
+                yield _cross_batch(len(i), **{"ab"[side]: members[i]}, bucket=name[of[i]], piece=(i - first[of[i]]) // PIECE, others=other[of[i]])
+
+    return bands.groupBy("band", "part").applyInArrow(cross, CROSS)
+
+
+def _cross_batch(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    kinds = {"a": pa.int64(), "b": pa.int64(), "bucket": pa.int64(), "piece": pa.int32(), "others": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+
+
+def large_bucket_pairs(crossed: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs (a, b) of the large buckets of ``cross_pairs``; repeated where they share several.
+
+    Every piece of a side meets every piece of the other, so a bucket is spread over many tasks; the sketches decide inside
+    the join and only likely pairs leave it.
+    """
+
+    def side(members: DataFrame, uid: str, sketch: DataFrame, name: int) -> DataFrame:
+        held = members.select(F.col(uid).alias("uid"), "bucket", "piece", "others").join(sketch, "uid")
+        held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+        pieces = ("piece", "_other") if name == 0 else ("_other", "piece")
+        return held.withColumn("place", F.struct("bucket", F.col(pieces[0]).alias("l"), F.col(pieces[1]).alias("r"))).withColumn("side", F.lit(name))
 
-    return bands.groupBy("band", "part").applyInArrow(cross, "a bigint, b bigint")
+    members = crossed.filter("bucket is not null")
+    l, r = side(members.filter("a is not null"), "a", left, 0), side(members.filter("b is not null"), "b", right, 1)
+    return sketched_pairs(l, r, threshold, "place", "side")
 
 
 def sketch_rows(texts: DataFrame, run: int = RUN) -> DataFrame:

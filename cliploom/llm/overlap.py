@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm.candidates import band_rows, confirmed, cross_pairs, likely, numbered, sketch_rows
+from cliploom.llm.candidates import band_rows, confirmed, cross_pairs, large_bucket_pairs, likely, numbered, sketch_rows
 from cliploom.llm.neardup import THRESHOLD, Work
 from cliploom.llm.shingles import RUN, Plan, plan_for
 from cliploom.llm.text_keys import caption_key, caption_set, digest
@@ -49,7 +49,14 @@ def overlapping_pairs(evaluation: DataFrame, training: DataFrame, threshold: flo
     bands = band_rows(eval_texts, plan, total, run, 0).unionByName(band_rows(train_texts, plan, total, run, 1))
     raw = work.put(cross_pairs(bands), "raw")
     release_shuffles(spark)
-    near = work.put(likely(raw.distinct(), sketch_rows(eval_texts, run), sketch_rows(train_texts, run), threshold).select("a", "b"), "near")
+    sketches = [sketch_rows(eval_texts, run), sketch_rows(train_texts, run)]
+    large = not raw.filter("bucket is not null").isEmpty()
+    if large:  # then the sketches are read twice
+        sketches = [work.put(s, f"sketch{i}") for i, s in enumerate(sketches)]
+    near = likely(raw.filter("bucket is null").select("a", "b").distinct(), *sketches, threshold).select("a", "b")
+    if large:
+        near = near.unionByName(large_bucket_pairs(raw, *sketches, threshold)).distinct()
+    near = work.put(near, "near")
     work.drop("raw")
     found = work.put(confirmed(near, eval_texts, train_texts, threshold, run), "found")
     release_shuffles(spark)

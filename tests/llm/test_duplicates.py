@@ -4,13 +4,14 @@ import json
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
 
 from cliploom.llm import candidates, ledger, neardup, overlap, shingles
 from cliploom.llm.components import components
-from cliploom.session import fresh_path
+from cliploom.session import fresh_path, materialize
 
 OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 WORDS = "amber bridge cloud delta ember forest garden harbor island jungle kettle lantern meadow northern ocean pebble quarry river summit tundra umbrella valley willow xenon yonder zephyr".split()
@@ -172,6 +173,47 @@ def test_signatures_estimate_similarity():
     assert shingles.jaccard(*shingles.sets_of([base, other])) == pytest.approx(true)
 
 
+def test_cross_pairs_in_blocks_and_pieces(spark, monkeypatch):
+    """One bucket of nearly all texts of both sides: no table of more than a block, and the pairs of a direct comparison."""
+    rng = random.Random(21)
+    hot = sentence(rng, 40)
+    e = spark.createDataFrame([(i, edited(rng, hot, i % 9)) for i in range(150)] + [(900, sentence(rng, 30))], "id bigint, prompt string")
+    t = spark.createDataFrame([(i, [edited(rng, hot, i % 7)]) for i in range(200)], "clip_id bigint, cap array<string>")
+    sides = overlap.text_entries(e, "id", "prompt"), overlap.array_entries(t, "clip_id", "cap")
+    texts = [materialize(candidates.numbered(s.select("key").distinct()), "t") for s in sides]
+    n, m = (x.count() for x in texts)
+    plan = shingles.Plan(1, 4)  # a pair in every bucket that shares one value
+    bands = candidates.band_rows(texts[0], plan, n, side=0).unionByName(candidates.band_rows(texts[1], plan, m, side=1))
+    tasks = []
+    monkeypatch.setattr(type(bands.groupBy("band")), "applyInArrow", lambda self, f, schema: tasks.append(f))
+    for block in (64, 1 << 16):
+        candidates.cross_pairs(bands, block)
+    by_band = [bands.filter(F.col("band") == k).toArrow().to_batches() for k in range(plan.bands)]
+    for most in (1 << 12, 1 << 40):
+        monkeypatch.setattr(candidates, "LARGE_BUCKET", most)
+        in_blocks, whole = ([b for k, rows in enumerate(by_band) for b in f((pa.scalar(k), pa.scalar(0)), iter(rows))] for f in tasks)
+        assert max(b.num_rows for b in in_blocks) == 64
+        rows = [sorted(map(repr, pa.Table.from_batches(x).to_pylist())) for x in (in_blocks, whole)]
+        assert rows[0] == rows[1]
+        assert any("'bucket': None" not in r for r in rows[0]) == (most == 1 << 12)
+
+
+@pytest.mark.parametrize("large, piece", [(1 << 12, 512), (8, 7), (0, 1)])
+def test_large_buckets_equal_brute_force(spark, monkeypatch, large, piece):
+    rng = random.Random(22)
+    hot = sentence(rng, 40)
+    held = {i: edited(rng, hot, i % 9) for i in range(120)} | {900: sentence(rng, 30), 901: None}
+    train = {i: [edited(rng, hot, i % 6)] for i in range(140)} | {900: [held[900]]}
+    monkeypatch.setattr(candidates, "LARGE_BUCKET", large)
+    monkeypatch.setattr(candidates, "PIECE", piece)
+    e = spark.createDataFrame(list(held.items()), "id bigint, prompt string")
+    t = spark.createDataFrame(list(train.items()), "clip_id bigint, cap array<string>")
+    plan = shingles.Plan(2, 96)
+    got = {(r.eval_id, r.train_id) for r in overlap.overlapping_pairs(overlap.text_entries(e, "id", "prompt"), overlap.array_entries(t, "clip_id", "cap"), plan=plan).collect()}
+    expected = {(a, b) for a, p in held.items() for b, caps in train.items() if similar(norm(p or ""), norm(caps[0]))}
+    assert got == expected and len(expected) > 4096
+
+
 SIZES = [2_000_000, 40_000_000, 40_000_001]
 
 
