@@ -72,9 +72,9 @@ def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int =
 
     total, rows = texts.count(), keyed.count()
     plan = plan or plan_for(total)
-    # Texts of different tables never meet: the table goes into what is hashed as the bucket's side.
+    # Texts of different tables never meet: each table has buckets of its own, named by its number above band and hash.
     tables = [r.tbl for r in texts.select("tbl").distinct().collect()]  # one entry per table
-    raw = [star_pairs(band_rows(texts.filter(F.col("tbl") == t), plan, total, run)) for t in tables]
+    raw = [star_pairs(band_rows(texts.filter(F.col("tbl") == t), plan, total, run)).withColumn("bucket", F.col("bucket") + F.lit(i << 48)) for i, t in enumerate(tables)]
     raw = work.put(reduce(DataFrame.unionByName, raw), "raw") if raw else spark.createDataFrame([], "a bigint, b bigint, bucket bigint")
     release_shuffles(spark)
 
@@ -107,9 +107,9 @@ def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int =
     group = texts.join(labels, "uid").select("tbl", F.col("digest").alias("key"), F.col("comp"))
     least = keyed.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("least"))
     placed = work.put(least.join(group, ["tbl", "key"], "left"), "placed")
-    heads = placed.filter("comp is not null").groupBy("comp").agg(F.min("least").alias("keep_id"), F.sum("copies").alias("members"))
+    heads = placed.filter("comp is not null").groupBy("tbl", "comp").agg(F.min("least").alias("keep_id"), F.sum("copies").alias("members"))
     single = placed.filter("comp is null").select("tbl", "key", "copies", F.col("least").alias("keep_id"), F.col("copies").alias("members"))
-    joined = placed.filter("comp is not null").join(heads, "comp").select("tbl", "key", "copies", "keep_id", "members")
+    joined = placed.filter("comp is not null").join(heads, ["tbl", "comp"]).select("tbl", "key", "copies", "keep_id", "members")
     return members_of(keyed, single.unionByName(joined), rows, members="members")
 
 

@@ -100,6 +100,16 @@ def test_tables_do_not_mix(spark):
     assert neardup.similar_groups(both).count() == 0
 
 
+def test_tables_of_the_same_near_duplicates_do_not_mix(spark):
+    """Buckets of three and more texts in both tables, of which no text is in both."""
+    rng = random.Random(31)
+    bases = [sentence(rng, 30) for _ in range(6)]
+    tables = {t: {at + k: [edited(rng, bases[k % 6], 1 + k % 5)] for k in range(60)} for t, at in (("a", 1), ("b", 1001))}
+    entries = [neardup.entries_of(df := spark.createDataFrame(list(rows.items()), "id bigint, cap array<string>"), t, "id", df["cap"]) for t, rows in tables.items()]
+    got = {(r.tbl, r.keep_id, r.dup_id) for r in neardup.similar_groups(entries[0].unionByName(entries[1])).collect()}
+    assert got == {(t, *pair) for t, rows in tables.items() for pair in groups(rows)} and len(got) > 60
+
+
 def test_copies_equal_brute_force(spark, table_of):
     rows, df = table_of
     keyed = ledger.array_record_keys(df, "t", "clip_id", "cap")
