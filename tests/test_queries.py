@@ -1,5 +1,6 @@
 """Every core query against its SQL, and the driver contract."""
 
+import re
 import subprocess
 import sys
 
@@ -43,3 +44,12 @@ def test_plans_read_only_what_they_need(spark, sf):
     schema = text[text.index("ReadSchema") :].split("\n")[0]
     assert "cap" not in schema and "dataset_name" not in schema
     assert "PushedFilters" in text
+
+
+def test_even_distribution_of_all_words(spark, sf):
+    prompts = {r.prompt_id: [w for w in re.split(r"[ \t\n\x0b\f\r]+", r.prompt) if w] for r in spark.read.parquet(f"{sf}/prompt_table.parquet").filter("prompt is not null").collect()}
+    got = {r.prompt_id: r.words.split(" ") for r in QUERIES["even_distribution_all"](spark, sf).collect()}
+    assert any(len(w) > 17 for w in prompts.values())
+    for i, w in got.items():
+        n, more = divmod(len(w), len(prompts[i]))
+        assert len(w) == len(prompts[i]) + 5 and w == [x for k, x in enumerate(prompts[i]) for _ in range(n + (k < more))]
