@@ -73,14 +73,23 @@ def cumulative_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.schedule(lines, "l_orderkey", "l_linenumber", "length")
 
 
-def interval_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's first steps on the way from the vector before it of its label."""
+def _lerp_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     rows = v.withColumn("p", F.lag("v").over(W.partitionBy("label").orderBy("vec_id"))).filter("p is not null")
-    steps = rows.select("vec_id", "v", "p", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("step"))
+    return rows.select("vec_id", "v", "p", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("step"))
+
+
+def interval_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's first steps on the way from the vector before it of its label."""
+    steps = _lerp_steps(spark, sf_dir)
     return steps.select("vec_id", "step", F.round(F.element_at(lerp(F.col("p"), F.col("v"), F.col("step") / 2), 1), 6).alias("first"), F.round(F.element_at(lerp(F.col("p"), F.col("v"), F.col("step") / 2), 64), 6).alias("last"))
 
 
+def interval_lerp_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries of the steps of ``interval_lerp``."""
+    return _lerp_steps(spark, sf_dir).select("vec_id", "step", as_text(lerp(F.col("p"), F.col("v"), F.col("step") / 2)).alias("vector"))
+
+
 def stride_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return e.select("vec_id", as_text(windows.every_second(F.col("v"), 1)).alias("odd"))
@@ -117,6 +126,9 @@ SELECT *, ends - length AS begins FROM e"""),
     "interval_lerp": (interval_lerp, """
 WITH v AS (SELECT vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
 SELECT vec_id, CAST(step AS INTEGER) AS step, round(CAST(p[1] AS DOUBLE) * (1 - step / 2) + CAST(v[1] AS DOUBLE) * (step / 2), 6) AS first, round(CAST(p[64] AS DOUBLE) * (1 - step / 2) + CAST(v[64] AS DOUBLE) * (step / 2), 6) AS last FROM v, range(0, 3) s(step) WHERE p IS NOT NULL"""),
+    "interval_lerp_vector": (interval_lerp_vector, f"""
+WITH v AS (SELECT vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
+SELECT vec_id, CAST(step AS INTEGER) AS step, {_T.format('list_transform(range(1, len(v) + 1), lambda i: CAST(p[i] AS DOUBLE) * (1 - step / 2) + CAST(v[i] AS DOUBLE) * (step / 2))')} AS vector FROM v, range(0, 3) s(step) WHERE p IS NOT NULL"""),
     "stride_two": (stride_two, f"SELECT vec_id, {_T.format('list_transform(range(1, len(embedding) // 2 + 1), lambda i: CAST(embedding[2 * i] AS DOUBLE))')} AS odd FROM embeddings"),
     "worker_ranges": (worker_ranges, _RN + " SELECT user_id, CAST(floor(rn / ceil(m / 8)) AS INTEGER) AS worker, min(rn) AS first, max(rn) AS last FROM r GROUP BY 1, 2"),
 }

@@ -53,3 +53,15 @@ def test_even_distribution_of_all_words(spark, sf):
     for i, w in got.items():
         n, more = divmod(len(w), len(prompts[i]))
         assert len(w) == len(prompts[i]) + 5 and w == [x for k, x in enumerate(prompts[i]) for _ in range(n + (k < more))]
+
+
+def test_interval_lerp_gives_whole_vectors(spark, sf):
+    last, expected = {}, {}
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect():
+        if (p := last.get(r.label)) is not None:
+            for step in range(3):
+                expected[r.vec_id, step] = [x + (y - x) * step / 2 for x, y in zip(p, r.embedding, strict=True)]
+        last[r.label] = r.embedding
+    got = {(r.vec_id, r.step): [float(x) for x in r.vector.split(",")] for r in QUERIES["interval_lerp_vector"](spark, sf).collect()}
+    assert got.keys() == expected.keys() and {len(v) for v in got.values()} == {64}
+    assert all(abs(x - y) < 1e-6 for k, v in got.items() for x, y in zip(v, expected[k], strict=True))
