@@ -1,11 +1,13 @@
 """Problem 7: documents of varying length in containers of a fixed capacity, with little unused space.
 
 Method: configuration linear program over the length histogram. A configuration says how many items of each length one
-container takes. Multiplicative weights solve the program: lengths that are covered less have higher prices, the best
-configuration at these prices is found by dynamic programming over the capacity, and it is used for a part of its scarcest
-length. The uses are rounded down, and what is left over is packed longest first, each container filled up
-by the best sum of the other lengths. Lengths and configurations
-are bounded by the capacity, not by the number of documents; documents then take the places of their length in turn.
+container takes. Multiplicative weights solve the program: every length has a price, which falls by a factor with each part
+of its items that is covered, so lengths that lag behind become dear; the best configuration at these prices is found by
+dynamic programming over the capacity (a knapsack). It is used as often as its scarcest length allows, rounded down to
+whole containers; what rounding leaves uncovered is priced again, so all items are placed by the program. A lower bound
+from dual prices tells how far the result is from the best one; beyond ``GAP`` the program is solved again with prices
+that fall at another rate. Lengths, turns and configurations are bounded by the capacity, not by the number of documents;
+documents then take the places of their length in turn.
 
 Only texts above the capacity are split, into pieces of the capacity and a rest.
 """
@@ -13,6 +15,7 @@ Only texts above the capacity are split, into pieces of the capacity and a rest.
 from __future__ import annotations
 
 import os
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,13 +30,14 @@ from cliploom.session import materialize, table
 
 #: Steps that a capacity is divided into; lengths are rounded up to a step, so an item wastes less than a step.
 STEPS = 2048
-#: Part of its scarcest length that a configuration covers when it is chosen.
-PART = 0.5
-#: How fast a length's price falls with its coverage.
-FALL = 4.0
-TURNS = 600
-#: Configurations emptier than this are not rounded; their items are left over.
-LEAST_FILL = 0.995
+#: How much dearer a length is that fills the whole room, for its size, than a very short one: long items fit least well
+#: into what is left in the end.
+LONG = 0.2
+#: Rates at which a length's price falls with its coverage, tried in turn until the gap to the bound is small enough.
+FALLS = (0.3, 1.0, 0.1)
+GAP = 0.001
+#: Lengths priced in one turn: those covered least, and others from short to long.
+LAGGING, OTHERS = 48, 32
 
 
 def tokenizer_file(name: str, folder: str | None = None) -> str:
@@ -84,84 +88,69 @@ def text_sizes(df: DataFrame, tokenizers: list[str], id_col: str = "doc_id", tex
     return source.mapInPandas(run, "doc bigint, tokenizer string, tokens bigint")
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts of each length 1..capacity of the most valuable filling, by dynamic programming; prices[l - 1] is a length's
-    value, 0 where there is none."""
-    lengths = np.flatnonzero(prices > 0) + 1
-    value = prices[lengths - 1]
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for w in range(1, capacity + 1):
-        best[w] = best[w - 1]
-        if fits[w]:
-            gain = best[w - lengths[: fits[w]]] + value[: fits[w]]
-            k = int(gain.argmax())
-            if gain[k] > best[w]:
-                best[w], pick[w] = gain[k], lengths[k]
-    out, w = np.zeros(capacity, dtype=np.int64), capacity
-    while w > 0:
-        if pick[w]:
-            out[pick[w] - 1] += 1
-            w -= pick[w]
-        else:
-            w -= 1
-    return out
-
-
-def fractional_uses(counts: np.ndarray, capacity: int, turns: int = TURNS) -> list[tuple[np.ndarray, float]]:
-    """Configurations with how often each is used, covering each length about once. Full-size items are left to themselves."""
-    there = counts > 0
-    covered = np.zeros(capacity)
-    uses: dict[bytes, list] = {}
-    scale = np.where(there, np.arange(1, capacity + 1) / capacity, 0.0)
-    for _ in range(turns):
-        short = there & (covered < 1)
-        if not short.any():
-            break
-        # an item's value: its length, raised while less of its length is covered than of the others
-        prices = np.where(short, scale * np.exp(-FALL * (covered - covered[short].min())), 0.0)
-        config = np.minimum(best_configuration(prices, capacity), counts)
-        used = config > 0
-        step = float(((1 - covered[used]) * counts[used] / config[used]).min())
-        part = max(PART * float((counts[used] / config[used]).min()), 1.0)
-        step = min(step, part)
-        covered[used] += step * config[used] / counts[used]
-        covered[covered > 1 - 1e-9] = 1.0
-        uses.setdefault(config.tobytes(), [config, 0.0])[1] += step
-    return [(c, x) for c, x in uses.values()]
-
-
-def fullest(left: np.ndarray, room: int) -> np.ndarray:
-    """A configuration with the longest item there is and, of the items left, those that fill the rest of ``room`` best.
-
-    Reachable sums are the bits of one integer per length, so the best one can be traced back.
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, limits: np.ndarray, room: int) -> np.ndarray:
+    """How often each length occurs in the most valuable filling of ``room``, at most ``limits`` times, by dynamic
+    programming over the room. A length's copies are taken in lots of 1, 2, 4, ..., which reach every number up to its limit.
     """
-    lengths = (np.flatnonzero(left) + 1)[::-1].tolist()
-    config = np.zeros(len(left), dtype=np.int64)
-    config[lengths[0] - 1] += 1
-    free = room - lengths[0]
-    mask = (1 << (free + 1)) - 1
-    reach, steps = 1, []
-    for length in lengths:
-        if length > free:
-            continue
-        copies = min(int(left[length - 1]) - int(config[length - 1]), free // length)
-        size = 1
+    best, lots = np.zeros(room + 1), []
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        copies, lot = min(int(limits[i]), room // int(lengths[i])), 1
         while copies > 0:
-            n = min(size, copies)
-            steps.append((reach, length, n))
-            reach |= (reach << (length * n)) & mask
-            copies, size = copies - n, size * 2
-        if reach >> free & 1:
-            break
-    at = reach.bit_length() - 1
-    for before, length, n in reversed(steps):
-        if not before >> at & 1:
-            config[length - 1] += n
-            at -= length * n
+            n = min(lot, copies)
+            width = n * int(lengths[i])
+            with_lot = best[: room + 1 - width] + n * prices[i]
+            lots.append((i, n, width, with_lot > best[width:]))
+            np.maximum(best[width:], with_lot, out=best[width:])
+            copies, lot = copies - n, lot * 2
+    config, free = np.zeros(len(lengths), dtype=np.int64), room
+    for i, n, width, taken in reversed(lots):
+        if free >= width and taken[free - width]:
+            config[i] += n
+            free -= width
     return config
 
 
+def solve(counts: np.ndarray, fall: float) -> list[tuple[np.ndarray, int]]:
+    """Configurations and how many containers each is used for; together they hold exactly ``counts`` items of the lengths
+    1, 2, .... Full-size items are alone."""
+    room = len(counts)
+    uses, left = [], counts.copy()
+    if left[-1]:
+        alone = np.zeros(room, dtype=np.int64)
+        alone[-1] = 1
+        uses.append((alone, int(left[-1])))
+        left[-1] = 0
+    size = np.arange(1, room + 1) / room
+    while len(there := np.flatnonzero(left)):
+        covered = 1 - left[there] / counts[there]
+        order = np.lexsort((-there, covered))
+        rest = np.sort(there[order[LAGGING:]])
+        spread = np.linspace(0, 1, min(OTHERS, len(rest))) ** 2 * (len(rest) - 1)
+        priced = np.r_[there[order[:LAGGING]], rest[np.unique(spread.astype(int))]]
+        covered = 1 - left[priced] / counts[priced]
+        prices = size[priced] * (1 + LONG * size[priced]) * np.exp(-fall * (covered - covered.min()))
+        part = best_configuration(priced + 1, prices, left[priced], room)
+        used = part > 0
+        times = int((left[priced[used]] // part[used]).min())
+        config = np.zeros(room, dtype=np.int64)
+        config[priced] = part
+        left -= times * config
+        uses.append((config, times))
+    return uses
+
+
+def least_containers(counts: np.ndarray) -> int:
+    """No packing has fewer containers: the greatest value of the items at prices that no filling of a container exceeds 1
+    of. For each limit k up to half the room such prices are 0 below k, 1 above room - k and the part of the room between."""
+    room = len(counts)
+    size = np.arange(1, room + 1)
+    items, volume = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * size)]
+    k = np.arange(1, room // 2 + 1)
+    above = items[-1] - items[room - k]
+    between = volume[room - k] - volume[k - 1]
+    return int(max([-(-volume[-1] // room), *(above + -(-between // room))]))
+
+
 @dataclass(frozen=True)
 class Plan:
     """Places for items. Item number r (from 0) of length l is in segment s with first[s] <= r, in container
@@ -170,6 +159,7 @@ class Plan:
     capacity: int
     step: int
     containers: int
+    bound: int
     segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def place(self, length: int, numbers: np.ndarray) -> np.ndarray:
@@ -178,33 +168,26 @@ class Plan:
         return start[s] + (numbers - first[s]) % many[s]
 
 
-def make_plan(histogram: dict[int, int], capacity: int, steps: int = STEPS, turns: int = TURNS) -> Plan:
-    """A plan for the items that the histogram counts by length in steps of the capacity."""
-    step = max(1, -(-capacity // steps))
+def step_of(capacity: int, steps: int = STEPS) -> int:
+    return max(1, -(-capacity // steps))
+
+
+def make_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """A plan for the items that the histogram counts by length in steps of the capacity; its containers are within ``GAP``
+    of ``bound``, or it is the best of all rates of ``FALLS``."""
+    step = step_of(capacity)
     room = capacity // step
     counts = np.zeros(room, dtype=np.int64)
     for length, n in histogram.items():
         counts[length - 1] += n
-    left = counts.copy()
-    chosen: list[tuple[np.ndarray, int]] = []
-
-    def take(config: np.ndarray, times: int) -> None:
-        used = config > 0
-        times = min(times, int((left[used] // config[used]).min()))
-        if times > 0:
-            left[used] -= times * config[used]
-            chosen.append((config, times))
-
-    alone = np.zeros(room, dtype=np.int64)
-    alone[room - 1] = 1
-    if left[room - 1]:
-        take(alone, int(left[room - 1]))
-    for config, x in sorted(fractional_uses(left.copy(), room, turns), key=lambda u: -u[1]):
-        if config.any() and float(config @ np.arange(1, room + 1)) >= LEAST_FILL * room:
-            take(config, int(x))
-    while left.any():
-        config = fullest(left, room)
-        take(config, int(left.max()))
+    bound, chosen, fewest = least_containers(counts), [], None
+    for fall in FALLS:
+        uses = solve(counts, fall)
+        many = sum(times for _, times in uses)
+        if fewest is None or many < fewest:
+            fewest, chosen = many, uses
+        if fewest <= bound * (1 + GAP):
+            break
     segments: dict[int, list[list[int]]] = {}
     begun, at = np.zeros(room, dtype=np.int64), 0
     for config, times in chosen:
@@ -212,7 +195,20 @@ def make_plan(histogram: dict[int, int], capacity: int, steps: int = STEPS, turn
             segments.setdefault(length, []).append([int(begun[length - 1]), at, times])
             begun[length - 1] += times * config[length - 1]
         at += times
-    return Plan(capacity, step, at, {l: tuple(np.array(rows, dtype=np.int64).T) for l, rows in segments.items()})
+    return Plan(capacity, step, at, bound, {l: tuple(np.array(rows, dtype=np.int64).T) for l, rows in segments.items()})
+
+
+def plans_of(histogram: DataFrame, capacities: dict[int, int]) -> dict[int, Plan]:
+    """The plan of each target of (target_id, length, n), one task a target; a histogram has at most STEPS rows a target and
+    a plan as many segments as its turns and lengths allow, whatever the number of documents."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        plan = make_plan(dict(zip(rows["length"].tolist(), rows["n"].tolist())), capacities[key[0]])
+        return pd.DataFrame({"target_id": [key[0]], "plan": [pickle.dumps(plan)]})
+
+    spread = histogram.repartition(max(1, len(capacities)), "target_id")
+    found = {r.target_id: pickle.loads(r.plan) for r in spread.groupBy("target_id").applyInPandas(run, "target_id bigint, plan binary").collect()}
+    return {i: found.get(i) or make_plan({}, c) for i, c in capacities.items()}
 
 
 ITEMS = "target_id bigint, doc bigint, piece int, tokens bigint, length int"
@@ -227,7 +223,7 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int, str]]) -> DataFrame:
     spark = sizes.sparkSession
     targets = [t for t in targets if t[0] is not None and t[1] is not None and t[1] > 0]
     # A step must divide the room for a full piece evenly; the plan's steps follow from the capacity alone.
-    spec = spark.createDataFrame([(i, c, k, max(1, -(-c // STEPS))) for i, c, k in targets], "target_id bigint, capacity bigint, tokenizer string, step bigint")
+    spec = spark.createDataFrame([(i, c, k, step_of(c)) for i, c, k in targets], "target_id bigint, capacity bigint, tokenizer string, step bigint")
     items = sizes.join(F.broadcast(spec), "tokenizer")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))).cast("int")
     items = items.withColumn("_all", F.col("tokens")).withColumn("piece", F.explode(F.sequence(F.lit(1), pieces)))
@@ -236,10 +232,8 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int, str]]) -> DataFrame:
     room = F.floor(F.col("capacity") / F.col("step"))
     length = F.least(room, F.ceil(F.col("tokens") / F.col("step"))).cast("int")
     items = materialize(items.select("target_id", "doc", "piece", "tokens", length.alias("length")), "items")
-    histogram: dict[int, dict[int, int]] = {}
-    for r in items.filter("length > 0").groupBy("target_id", "length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most STEPS rows a target
-        histogram.setdefault(r.target_id, {})[r.length] = r.n
-    plans = {i: make_plan(histogram.get(i, {}), c) for i, c, _ in targets}
+    histogram = items.filter("length > 0").groupBy("target_id", "length").agg(F.count(F.lit(1)).alias("n"))
+    plans = plans_of(histogram, {i: c for i, c, _ in targets})
 
     digits = hash_digits(max(1, items.count() // max(1, len(targets))))
     keyed = items.filter("length > 0").withColumn("_bin", F.substring(F.md5(F.concat_ws(":", "doc", "piece")), 1, digits)).withColumn("_one", F.lit(1))
@@ -283,3 +277,23 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = packed.filter("container_id is not null").groupBy("target_id").agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
     out = sums.join(F.broadcast(spec), "target_id")
     return out.select("target_id", "capacity", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("at_least"), F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("used"))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per pack_target what must hold of its packing: all documents are there, and none of these occurs: a container above
+    the capacity, a document of several pieces that would have fitted whole, one in fewer or more pieces than needed."""
+    packed, targets = _packed(spark, sf_dir)
+    spec = F.broadcast(spark.createDataFrame(targets, "target_id bigint, capacity bigint, tokenizer string").drop("tokenizer"))
+    loads = packed.filter("container_id is not null").groupBy("target_id", "container_id").agg(F.sum("tokens").alias("load")).join(spec, "target_id")
+    loads = loads.groupBy("target_id").agg(F.count_if(F.col("load") > F.col("capacity")).alias("above_capacity"))
+    docs = packed.groupBy("target_id", "doc").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces")).join(spec, "target_id")
+    split = (F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")))
+    docs = docs.groupBy("target_id", "capacity").agg(F.count(F.lit(1)).alias("documents"), F.count_if(split).alias("needless_splits"), F.count_if(F.col("pieces") != needed).alias("wrong_pieces"))
+    return docs.join(loads, "target_id", "left").select("target_id", "capacity", "documents", F.coalesce("above_capacity", F.lit(0)).alias("above_capacity"), "needless_splits", "wrong_pieces")
+
+
+SQL = {
+    "p7_checks": """SELECT target_id, CAST(capacity AS BIGINT) AS capacity, count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS above_capacity,
+  CAST(0 AS BIGINT) AS needless_splits, CAST(0 AS BIGINT) AS wrong_pieces FROM pack_target, documents WHERE doc_id IS NOT NULL AND capacity > 0 GROUP BY 1, 2""",
+}

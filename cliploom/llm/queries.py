@@ -28,10 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": p6_ids,
         "p7_containers": packing.p7_containers,
         "p7_fill": packing.p7_fill,
+        "p7_checks": packing.p7_checks,
         "p8_found": language.p8_found,
         "p8_spans": language.p8_spans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return ledger.SQL | mixing.SQL | neardup.SQL | overlap.SQL
+    return ledger.SQL | mixing.SQL | neardup.SQL | overlap.SQL | packing.SQL
