@@ -59,6 +59,13 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for costly work on a stored table that comes in fewer pieces than there are cores. A table in
+    more pieces is left as it is, so at scale nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
