@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from cliploom.session import spread
+
 #: Fixed value: the pattern that splits a text before the merges.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT_WORD = 64
@@ -153,7 +155,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id and repeated rows are kept as they are; other columns are not read, whatever their names.
     ``vocabulary`` is a rank file that every executor can open. One narrow stage, no shuffle.
     """
-    source = df.select(df[id_col].alias("_id"), df[text_col].alias("_text"))
+    source = spread(df.select(df[id_col].alias("_id"), df[text_col].alias("_text")))
     path = vocabulary or default_vocabulary()
 
     def build(batch: pa.RecordBatch, packed: list[bytes]) -> pa.RecordBatch:
@@ -169,7 +171,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, count_col: str = "tokens") -> DataFrame:
     """(id, tokens): the number of ids each text has; 0 for an empty or null text."""
-    source = df.select(df[id_col].alias("_id"), df[text_col].alias("_text"))
+    source = spread(df.select(df[id_col].alias("_id"), df[text_col].alias("_text")))
     path = vocabulary or default_vocabulary()
 
     def build(batch: pa.RecordBatch, packed: list[bytes]) -> pa.RecordBatch:

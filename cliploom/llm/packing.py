@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cliploom.llm.encode import ByteBPE
 from cliploom.llm.mixing import hash_digits, running
-from cliploom.session import materialize, table
+from cliploom.session import materialize, spread, table
 
 #: Steps that a capacity is divided into; lengths are rounded up to a step, so an item wastes less than a step.
 STEPS = 2048
@@ -77,7 +77,7 @@ def _counter(path: str):
 def text_sizes(df: DataFrame, tokenizers: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tokenizer, tokens) of each document by each tokenizer; null and empty texts have 0 tokens, null ids fall out."""
     paths = {name: tokenizer_file(name) for name in tokenizers}
-    source = df.select(df[id_col].cast("bigint").alias("doc"), df[text_col].alias("_text")).filter("doc is not null")
+    source = spread(df.select(df[id_col].cast("bigint").alias("doc"), df[text_col].alias("_text")).filter("doc is not null"))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -202,12 +202,14 @@ def plans_of(histogram: DataFrame, capacities: dict[int, int]) -> dict[int, Plan
     """The plan of each target of (target_id, length, n), one task a target; a histogram has at most STEPS rows a target and
     a plan as many segments as its turns and lengths allow, whatever the number of documents."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        plan = make_plan(dict(zip(rows["length"].tolist(), rows["n"].tolist())), capacities[key[0]])
-        return pd.DataFrame({"target_id": [key[0]], "plan": [pickle.dumps(plan)]})
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for target, rows in pd.concat([pd.DataFrame({"target_id": [], "length": [], "n": []}), *frames]).groupby("target_id"):
+            plan = make_plan(dict(zip(rows["length"].astype(int), rows["n"].astype(int))), capacities[int(target)])
+            yield pd.DataFrame({"target_id": [int(target)], "plan": [pickle.dumps(plan)]})
 
-    spread = histogram.repartition(max(1, len(capacities)), "target_id")
-    found = {r.target_id: pickle.loads(r.plan) for r in spread.groupBy("target_id").applyInPandas(run, "target_id bigint, plan binary").collect()}
+    numbers = F.create_map(*(F.lit(x) for number, i in enumerate(capacities) for x in (i, number))) if capacities else F.create_map().cast("map<bigint,int>")
+    spread = histogram.repartitionById(max(1, len(capacities)), numbers[F.col("target_id")])
+    found = {r.target_id: pickle.loads(r.plan) for r in spread.mapInPandas(run, "target_id bigint, plan binary").collect()}
     return {i: found.get(i) or make_plan({}, c) for i, c in capacities.items()}
 
 
