@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -25,6 +26,8 @@ from cliploom.session import spread
 #: Fixed value: the pattern that splits a text before the merges.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHORT_WORD = 64
+#: Bytes of text encoded and handed on at a time, or one text where it is longer.
+BATCH_BYTES = 1 << 21
 MEMO_CHUNK_CHARS = 64
 MEMO_ENTRIES = 1 << 18
 NO_RANK = 1 << 60
@@ -142,9 +145,16 @@ class ByteBPE:
 def _over_batches(text_col: str, path: str, build: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE.load(path)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            yield build(batch, [bpe.packed(t) if t else b"" for t in (x.as_py() for x in texts)])
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(whole.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(ends):
+                done = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + BATCH_BYTES, side="right")))
+                batch = whole.slice(at, to - at)
+                texts = batch.column(batch.schema.get_field_index(text_col))
+                yield build(batch, [bpe.packed(t) if t else b"" for t in (x.as_py() for x in texts)])
+                at = to
 
     return run
 

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,16 @@ def test_encode_table(spark, reference):
     assert {r.doc_id: r.tokens for r in encode.token_counts(df).collect()}[2] == 0
 
 
+def test_texts_are_encoded_in_bounded_batches(reference, monkeypatch):
+    texts = ["a b", "", None, "x " * 100, "end"]
+    batch = pa.RecordBatch.from_pydict({"_id": list(range(5)), "_text": texts})
+    monkeypatch.setattr(encode, "BATCH_BYTES", 4)
+    run = encode._over_batches("_text", encode.default_vocabulary(), lambda b, packed: (b.num_rows, [len(p) // 4 for p in packed]))
+    got = list(run([batch, batch.slice(0, 0)]))
+    assert [n for n, _ in got] == [3, 1, 1]
+    assert [n for _, many in got for n in many] == [len(reference.encode_ordinary(t or "")) for t in texts]
+
+
 def check_packing(rows, sizes, targets):
     where = defaultdict(lambda: defaultdict(list))
     for r in rows:
