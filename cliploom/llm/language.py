@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm.wikitext import sentences
-from cliploom.session import table
+from cliploom.session import spread, table
 
 #: Names of the languages in labels, lower-case and without accents.
 LANGUAGE_NAMES = {
@@ -56,7 +56,8 @@ VARIED_SHARE = 0.1
 SWITCH = 0.04
 MEMO = 1 << 16
 
-_OTHER = 61
+#: Numbers of letters: Latin 1 to 26, Cyrillic from 27, ideographs from 64, other scripts from here, by code point.
+_OTHER = 1 << 18
 
 
 def fold(text: str) -> str:
@@ -94,7 +95,7 @@ def _symbols() -> np.ndarray:
             elif 0x3400 <= cp < 0xA000:
                 out[cp] = 64 + cp
             else:
-                out[cp] = _OTHER
+                out[cp] = _OTHER + cp
     return out
 
 
@@ -109,10 +110,10 @@ _CLASS_GRAM = 1
 
 def _main_script(sym: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
     """``sym`` with the letters of other scripts than each text's main one made blanks."""
-    script = np.searchsorted(np.array([1, 27, 61, 64]), sym, side="right")  # 0 none, 1 Latin, 2 Cyrillic, 3 other, 4 ideographs
+    script = np.searchsorted(np.array([1, 27, 64, _OTHER]), sym, side="right")  # 0 none, 1 Latin, 2 Cyrillic, 3 ideographs, 4 other
     amount = np.bincount(owner.astype(np.int64) * 5 + script, minlength=texts * 5).reshape(texts, 5).astype(np.int64)
     amount[:, 0] = 0
-    amount[:, 4] *= IDEOGRAPH_LETTERS
+    amount[:, 3] *= IDEOGRAPH_LETTERS
     return np.where(script == amount.argmax(axis=1)[owner], sym, 0).astype(np.uint32)
 
 
@@ -134,7 +135,7 @@ def grams(texts: list[str], longest: int = LONGEST) -> tuple[np.ndarray, np.ndar
     sym, owner = sym[keep], owner[keep]
     if longest > 1 and (sym > 26).any():
         sym = _main_script(sym, owner, len(texts))
-    ideograph = sym >= 64
+    ideograph = (sym >= 64) & (sym < _OTHER)
     ids, owners = [np.full(int(ideograph.sum()), _CLASS_GRAM, dtype=np.int32)], [owner[ideograph]]
     value, plain = sym, ~ideograph
     # inner: every symbol after the first and before the last is a letter
@@ -325,12 +326,12 @@ def language_spans(documents: DataFrame, samples: DataFrame, id_col: str = "doc_
     on at most ``SAMPLE_ROWS`` rows of (lang, text) in ``samples`` and twice ``FIT_DOCUMENTS`` labelled documents, chosen by
     a hash of their ids; the profiles are all that tasks carry. No shuffle.
     """
-    rows = samples.select("lang", "text").filter("lang is not null and text is not null").limit(SAMPLE_ROWS).collect()
+    rows = samples.select("lang", "text").filter("lang is not null and text is not null").distinct().orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(SAMPLE_ROWS).collect()
     sample = sorted({(r.lang, r.text) for r in rows})
     source = documents.select(documents[id_col].cast("bigint").alias("_id"), documents[text_col].alias("_text"), documents[label_col].alias("_label"))
     part = min(1.0, FIT_DOCUMENTS / max(1, source.count()))
     chosen = source.filter((F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))) & F.col("_label").isNotNull() & (F.length("_text") <= FIT_CHARS))
-    labelled = [(r["_label"], r["_text"]) for r in chosen.select("_label", "_text").limit(2 * FIT_DOCUMENTS).collect()]
+    labelled = [(r["_label"], r["_text"]) for r in chosen.orderBy(F.xxhash64("_id"), "_id", "_text").select("_label", "_text").limit(2 * FIT_DOCUMENTS).collect()]
     profiles = refit(Profiles.train(sample), sample, labelled)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -344,7 +345,7 @@ def language_spans(documents: DataFrame, samples: DataFrame, id_col: str = "doc_
                     out += [(doc, seg, n, lang, round(c, 4), label, named) for seg, n, lang, c, _ in spans]
             yield pd.DataFrame(out, columns=["_id", "seg_no", "sentences", "lang", "confidence", "label", "named"])
 
-    return source.mapInPandas(run, SPANS).withColumnRenamed("_id", id_col)
+    return spread(source).mapInPandas(run, SPANS).withColumnRenamed("_id", id_col)
 
 
 def _all_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,13 @@ _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);")
 _LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 #: A line that begins so is a table, a heading, a redirect, a rest of a template or a file of a gallery.
 _NO_PROSE = ("{", "|", "!", "}", "=", "[[", "----", "#")
-_FILE_LINE = re.compile(r"[^\W\d_]{2,14}:[^\s:]*\.[A-Za-z]{3,4}\b")
+_FILE_LINE = re.compile(r"[^\W\d_]{2,}:[^\s:]*\.[A-Za-z]{3,4}\b")
 _END = re.compile(r"""(?<=[.!?…])["'”»“’)\]]*\s+|(?<=[。！？])["'”»“’)）」』]*\s*|(?<=[.!?])(?=[\u3400-\u9fff])""")
 #: A quotation or an aside in a sentence, which may be in another language.
-_QUOTED = re.compile(r"""[(（][^()（）]{1,300}[)）]|„[^„“”]{1,200}[“”]|“[^“”]{1,200}”|«[^«»]{1,200}»|"[^"]{1,200}"|「[^「」]{1,200}」|''[^']{2,200}''""")
+_QUOTED = re.compile(r"""[(（][^()（）]+[)）]|„[^„“”]+[“”]|“[^“”]+”|«[^«»]+»|(?<!\w)"(?=\S)[^"]+"|「[^「」]+」|''[^']{2,}''""")
+#: A piece that is only an initial, a short abbreviation or a number belongs to what follows.
+_ABBREVIATED = re.compile(r"""[^\w\u3400-\u9fff]*(?:\d+|[^\W\d_\u3400-\u9fff]{1,3})\.\Z""")
+_LETTER = re.compile(r"[^\W\d_]")
 _TERMINATED = re.compile(r"""[.!?…。！？]["'”»“’)\]）」』]*$""")
 
 
@@ -62,7 +65,7 @@ def paragraphs(text: str) -> list[str]:
             continue
         if line[0] in "*:;":
             line = line.lstrip("*:; \t")
-        if ":" in line[:16] and _FILE_LINE.match(line):
+        if ":" in line and _FILE_LINE.match(line):
             continue
         out.append(line)
     return out
@@ -77,7 +80,12 @@ def sentences(text: str) -> list[str]:
             # An emphasised word stays, an emphasised phrase is a title or a quotation.
             line = re.sub(r"''([^'\s]+)''", r"\1", line)
             line = _QUOTED.sub("", line).replace("''", "")
+        before = ""
         for s in _END.split(line):
-            if len(s) > 5 and _TERMINATED.search(s):
+            if _ABBREVIATED.match(s):
+                before += s + " "
+                continue
+            s, before = before + s, ""
+            if _TERMINATED.search(s) and _LETTER.search(s):
                 out.append(s)
     return out

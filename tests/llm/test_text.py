@@ -146,6 +146,25 @@ def test_wikitext():
     assert len(sentences("Eins ist da. " * 2 + "一个村庄在这里。" * 2)) == 4
 
 
+def test_short_sentences_and_long_quotations():
+    assert sentences("他是医生。她来自北京市。") == ["他是医生。", "她来自北京市。"]
+    assert sentences("I go. We came home late yesterday.") == ["I go.", "We came home late yesterday."]
+    assert sentences("J. R. Miller came on 3. May with Dr. Jones.") == ["J. R. Miller came on 3.", "May with Dr.", "Jones."]
+    quoted = "Das ist ein langes Zitat, das nicht zum Satz gehört, " * 8
+    assert len(quoted) > 400
+    for opening, closing in ('""', "“”", "«»", "()", ("''", "''")):
+        assert sentences(f"He said {opening}{quoted}{closing} and left the room.") == ["He said  and left the room."]
+    assert sentences('A 5" board and a 7" board lay there.') == ['A 5" board and a 7" board lay there.']
+    assert sentences('("' * 20000 + " It ends here.") and sentences("... !!! ???") == []
+
+
+def test_other_scripts_come_apart(spark):
+    greek, arabic = "Το χωριό βρίσκεται κοντά στη θάλασσα και έχει λίγους κατοίκους.", "تقع القرية بالقرب من البحر ويسكنها عدد قليل من الناس."
+    trained = language.Profiles.train([("el", greek), ("ar", arabic), ("en", "The village lies near the sea and few people live there.")])
+    near = trained.distances(["Η πόλη βρίσκεται στη θάλασσα.", "تقع المدينة بالقرب من البحر.", "The town lies near the sea."])[0].argmin(axis=1)
+    assert [trained.languages[i] for i in near] == ["el", "ar", "en"]
+
+
 @pytest.fixture(scope="module")
 def profiles(spark, sf):
     rows = [(r.lang, r.text) for r in spark.read.parquet(f"{sf}/lang_sample.parquet").collect()]
