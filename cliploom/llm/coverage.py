@@ -10,7 +10,6 @@ gives its best, then its second best, and so on, the last of these rounds being
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from statistics import NormalDist
 
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cliploom.session import materialize, table
+from cliploom.session import materialize, spread, table
 
 FEATURES = 6
 BITS = 5
@@ -64,7 +63,7 @@ def word_features(df: DataFrame, id_col: str, entries_col: str, penalty: Column)
             values = sums[keep] / np.sqrt(n[keep])[:, None]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), *(pa.array(values[:, k]) for k in range(FEATURES))], names=["id", "penalty", *(f"f{k}" for k in range(FEATURES))])
 
-    return source.mapInArrow(run, "id bigint, penalty bigint, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
+    return spread(source).mapInArrow(run, "id bigint, penalty bigint, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
 
 
 def _direction(word: str) -> np.ndarray:
@@ -121,13 +120,44 @@ def curve_cells(features: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def _prefix_length(places: DataFrame, wanted: int, length: int) -> int:
-    """The shortest prefix of curve numbers with at least ``wanted`` distinct values; all bits if none has."""
-    for some in range(max(0, math.ceil(math.log2(max(1, wanted)))), length):
-        if places.select(F.shiftright("place", length - some).alias("c")).distinct().count() >= wanted:
+    """The shortest prefix of the distinct ``places`` with at least ``wanted`` distinct values; all bits if none has.
+
+    One job counts all prefixes: neighbours in order differ first at some bit, and are apart for every prefix that has it.
+    Neighbours are found within the bins of ``_numbered_cells``; the bins themselves are few.
+    """
+    shift = max(0, length - BIN_BITS)
+    binned = places.withColumn("_bin", F.shiftright("place", shift))
+    before = F.lag("place").over(W.partitionBy("_bin").orderBy("place"))
+    apart = F.when(before.isNotNull(), F.lit(length) - F.length(F.bin(F.col("place").bitwiseXOR(before))))
+    rows = binned.withColumn("_first", apart).groupBy(F.when(F.col("_first").isNull(), F.col("_bin")).alias("bin"), F.col("_first").alias("first")).agg(F.count(F.lit(1)).alias("n")).collect()
+    bins = [r.bin for r in rows if r.first is None]  # at most 2 ** BIN_BITS; the other rows are at most ``length``
+    for some in range(length):
+        if some <= length - shift:
+            distinct = len({b >> (length - shift - some) for b in bins})
+        else:
+            distinct = len(bins) + sum(r.n for r in rows if r.first is not None and r.first < some)
+        if distinct >= wanted:
             return some
     return length
 
 
+def _rounds(sizes: DataFrame, wanted: int) -> tuple[int, int, int]:
+    """For cells of ``n`` records each, fewer than all of which are wanted: the whole rounds that fit in ``wanted`` when
+    every cell gives one record a round as long as it has any, the records left for the last round, and the cells in it.
+
+    The distinct sizes are at most the root of twice the records, and one small task runs over them.
+    """
+    kinds = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    kinds = kinds.unionByName(kinds.sparkSession.createDataFrame([(0, 0)], "n bigint, c bigint"))
+    upto = W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    after = W.orderBy("n").rowsBetween(1, W.unboundedFollowing)
+    larger = F.coalesce(F.sum("c").over(after), F.lit(0))
+    given = kinds.select("n", larger.alias("larger"), (F.sum(F.col("n") * F.col("c")).over(upto) + F.col("n") * larger).alias("given"))
+    at = given.filter(F.col("given") < wanted).orderBy(F.col("n").desc()).first()
+    more = -(-(wanted - at.given) // at.larger) - 1
+    return at.n + more, wanted - at.given - more * at.larger, at.larger
+
+
 def _numbered_cells(cells: DataFrame, cell: str, length: int) -> DataFrame:
     """Adds rank, the 0-based place of each distinct cell in the global order: cells are numbered within bins of the curve
     and the bins are totalled. A bin is a stretch of the curve, so it has at most 2 ** (length - BIN_BITS) cells."""
@@ -157,15 +187,8 @@ def varied_subset(cells: DataFrame, wanted: int, length: int = FEATURES * BITS)
     prefix = _prefix_length(places, wanted, length)
     celled = cells.withColumn("cell", F.shiftright("place", length - prefix))
     sizes = materialize(celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
-    # rounds: how many cells have at least r records, until these fill the subset
-    full, left = 0, wanted
-    while True:
-        deep = sizes.filter(F.col("n") > full)
-        here = deep.count()
-        if here >= left:
-            break
-        full, left = full + 1, left - here
-    last = _numbered_cells(deep, "cell", prefix).filter(_evenly(F.col("rank"), left, here)).select("cell", F.lit(1).alias("more"))
+    full, left, here = _rounds(sizes, wanted)
+    last = _numbered_cells(sizes.filter(F.col("n") > full), "cell", prefix).filter(_evenly(F.col("rank"), left, here)).select("cell", F.lit(1).alias("more"))
     # A cell gives full records, and one more if the last round chose it; only that many of each are ranked. The rank limit
     # is applied before the shuffle as well, so a cell with a third of all records sends few.
     best = W.partitionBy("cell").orderBy("penalty", "id")
