@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from cliploom.llm.text_keys import caption_key, caption_set, digest
 from cliploom.session import fresh_path, materialize, table
 
+#: A ledger has at least this many buckets, and so many that about BUCKET_ROWS of the expected rows fall in each.
 BUCKETS = 16
+BUCKET_ROWS = 1_000_000
 #: A key with more copies than a 1/HEAVY_PART of all rows is joined from a broadcast: there are at most HEAVY_PART such keys.
 HEAVY_PART = 1000
 
@@ -114,30 +116,46 @@ def json_record_keys(df: DataFrame, tbl: str, id_col: str, line_col: str, captio
 class CopyLedger:
     """Counts of canonical keys in buckets, kept over batches. Columns: tbl, key, copies, keep_id, bucket.
 
-    Files lie in ``path/v<version>/bucket=<b>``; the newest complete version of each bucket holds.
+    Files lie in ``path/v<version>/bucket=<b>``; the newest complete version of each bucket holds. The number of buckets is
+    chosen once, from the rows expected, and kept in ``path/buckets``. A bucket that outgrows ``BUCKET_ROWS`` is written by
+    several tasks.
     """
 
     SCHEMA = "tbl string, key binary, copies bigint, keep_id bigint, bucket int"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, version: int = 0, newest: dict[int, int] | None = None):
+    def __init__(self, spark: SparkSession, path: str, buckets: int, version: int = 0, newest: dict[int, int] | None = None):
         self.spark, self.path, self.buckets, self.version, self.newest = spark, path, buckets, version, newest or {}
 
     @classmethod
-    def create(cls, spark: SparkSession, buckets: int = BUCKETS) -> "CopyLedger":
-        return cls(spark, fresh_path(spark, "ledger"), buckets)
+    def create(cls, spark: SparkSession, rows: int = 0, buckets: int | None = None, path: str | None = None) -> "CopyLedger":
+        """An empty ledger for about ``rows`` records, or with the given number of buckets."""
+        path = path or fresh_path(spark, "ledger")
+        if buckets is None:
+            buckets = max(BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        out = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop(f"{path}/buckets"), False)
+        out.writeInt(buckets)
+        out.close()
+        return cls(spark, path, buckets)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, buckets: int = BUCKETS) -> "CopyLedger":
-        """The ledger as its last complete update left it; versions without a success mark are passed over."""
+    def open(cls, spark: SparkSession, path: str, buckets: int | None = None) -> "CopyLedger":
+        """The ledger as its last complete update left it; versions without a success mark are passed over. ``buckets`` may
+        be given to make sure that the ledger has that many."""
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        kept = fs.open(hadoop(f"{path}/buckets"))
+        held = kept.readInt()
+        kept.close()
+        if buckets not in (None, held):
+            raise ValueError(f"the ledger in {path} has {held} buckets, not {buckets}")
         done = {int(s.getPath().getParent().getName()[1:]) for s in fs.globStatus(hadoop(f"{path}/v*/_SUCCESS"))}
         newest: dict[int, int] = {}
         for s in fs.globStatus(hadoop(f"{path}/v*/bucket=*")):
             v, b = int(s.getPath().getParent().getName()[1:]), int(s.getPath().getName()[7:])
             if v in done:
                 newest[b] = max(v, newest.get(b, 0))
-        return cls(spark, path, buckets, max(done, default=0), newest)
+        return cls(spark, path, held, max(done, default=0), newest)
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -158,17 +176,22 @@ class CopyLedger:
         and written again.
         """
         new = batch.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumn("bucket", self.bucket(F.col("key")))
+        new = materialize(new, "ledger-batch")
+        touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # at most as many as there are buckets
+        rows = new.count()
         if self.newest:
-            new = materialize(new, "ledger-batch")
-            touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # at most as many as there are buckets
-            both = self.read(touched).join(new, ["tbl", "key", "bucket"], "full_outer")
+            held = self.read(touched)
+            rows += held.count()
+            both = held.join(new, ["tbl", "key", "bucket"], "full_outer")
             new = both.select("tbl", "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("keep_id", "first").alias("keep_id"), "bucket")
         else:
             new = new.select("tbl", "key", F.col("n").alias("copies"), F.col("first").alias("keep_id"), "bucket")
         version, where = self.version + 1, f"{self.path}/v{self.version + 1}"
-        new.repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(where)
-        written = {r.bucket for r in self.spark.read.schema("tbl string, bucket int").parquet(where).select("bucket").distinct().collect()} if not self.newest else touched
-        return CopyLedger(self.spark, self.path, self.buckets, version, self.newest | dict.fromkeys(written, version))
+        # The rows of a bucket go to one task while it is of the size it was made for.
+        writers = max(1, -(-rows // (max(1, len(touched)) * BUCKET_ROWS)))
+        new = new.repartition("bucket") if writers == 1 else new.repartition(max(1, len(touched)) * writers, F.col("bucket"), F.pmod(F.hash("key"), F.lit(writers)))
+        new.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(where)
+        return CopyLedger(self.spark, self.path, self.buckets, version, self.newest | dict.fromkeys(touched, version))
 
 
 def members_of(keyed: DataFrame, ledger: DataFrame, rows: int, members: str = "copies") -> DataFrame:
@@ -196,8 +219,8 @@ def record_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def build_ledger(spark: SparkSession, batches: Iterable[DataFrame]) -> CopyLedger:
-    ledger = CopyLedger.create(spark)
+def build_ledger(spark: SparkSession, batches: Iterable[DataFrame], rows: int = 0) -> CopyLedger:
+    ledger = CopyLedger.create(spark, rows)
     for batch in batches:
         ledger = ledger.update(batch)
     return ledger
@@ -208,7 +231,7 @@ def _keyed_and_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Copy
     rows = keyed.count()
     # Two deliveries of the same tables: keys come in twice and must meet what the ledger already holds.
     half = F.pmod(F.xxhash64("id"), F.lit(2))
-    ledger = build_ledger(spark, [keyed.filter(half == 0), keyed.filter(half == 1)])
+    ledger = build_ledger(spark, [keyed.filter(half == 0), keyed.filter(half == 1)], rows)
     return keyed, ledger, rows
 
 
