@@ -18,6 +18,8 @@ from cliploom.llm.shingles import RUN, Plan, band_hashes, jaccard, sets_of, sign
 
 #: Texts of a band that one task sorts; beyond, the band is split by its upper hash bits.
 PART_TEXTS = 8_000_000
+#: Texts of a batch with one hash beyond which these go to groups of their own, once a band is split.
+HOT_IN_BATCH = 64
 #: Texts whose signatures are held at once.
 SIGNED_TEXTS = 5_000
 #: Pairs whose texts' runs are held at once in the exact check.
@@ -35,14 +37,22 @@ def numbered(texts: DataFrame) -> DataFrame:
     return texts.withColumn("uid", F.monotonically_increasing_id())
 
 
-def band_rows(texts: DataFrame, plan: Plan, total: int, run: int = RUN, side: int = 0) -> DataFrame:
+def band_parts(total: int) -> int:
+    parts = 1
+    while total / parts > PART_TEXTS:
+        parts *= 2
+    return parts
+
+
+def band_rows(texts: DataFrame, plan: Plan, total: int, run: int = RUN, side: int = 0, split_hot: bool = False) -> DataFrame:
     """(band, part, side, base, n, hashes, at): per batch of texts and band, the band's hash of each text.
 
     ``at`` is null where the texts are the consecutive uids from ``base`` on; otherwise it holds 32-bit distances from it.
+    split_hot, for stars: where one hash has many texts of a batch, these go to one of as many further parts as there are,
+    and only the first of them to the hash's own part as well. So no part gathers all texts of a hash, and as a part's
+    centre is the first text of some batch, all stars of the hash hang together.
     """
-    parts = 1
-    while total / parts > PART_TEXTS:
-        parts *= 2
+    parts = band_parts(total)
 
     def emit(uids: np.ndarray, keys: list[str]) -> Iterator[pa.RecordBatch]:
         signature, _ = signatures(keys, plan.bins, run)
@@ -53,8 +63,17 @@ def band_rows(texts: DataFrame, plan: Plan, total: int, run: int = RUN, side: in
                 rows.append((band, 0, side, int(uids[0]), len(uids), hashes[band].tobytes(), None))
                 continue
             part = (hashes[band] >> np.uint32(33 - parts.bit_length())).astype(np.int64)
+            at = np.arange(len(uids))
+            if split_hot:
+                _, first, of, count = np.unique(hashes[band], return_index=True, return_inverse=True, return_counts=True)
+                hot = count[of] > HOT_IN_BATCH
+                own = ~hot
+                own[first] = True
+                aside = np.flatnonzero(hot)
+                at = np.r_[at[own], aside]
+                part = np.r_[part[own], np.full(len(aside), parts + int(uids[0]) // SIGNED_TEXTS % parts)]
             for p in np.unique(part):
-                here = np.flatnonzero(part == p)
+                here = at[part == p]
                 rows.append((band, int(p), side, int(uids[0]), len(here), hashes[band][here].tobytes(), (uids[here] - uids[0]).astype(np.uint32).tobytes()))
         names = ["band", "part", "side", "base", "n", "hashes", "at"]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -102,9 +121,10 @@ def _bucket_arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 STARS = "a bigint, b bigint, bucket bigint"
 
 
-def star_pairs(bands: DataFrame) -> DataFrame:
+def star_pairs(bands: DataFrame, split: bool = False) -> DataFrame:
     """(a, b, bucket): in every bucket the smallest uid with each other member; m members give m - 1 pairs. bucket names
-    buckets of more than two, whose members may still have to meet each other, and is null for the others."""
+    buckets of more than two, whose members may still have to meet each other, and is null for the others; where a band is
+    split, no part knows the size of a whole bucket, and all are named."""
 
     def stars(key: tuple, rows: pa.Table) -> pa.Table:
         h, u, _ = _bucket_arrays(rows)
@@ -116,7 +136,7 @@ def star_pairs(bands: DataFrame) -> DataFrame:
         member = np.ones(len(h), bool)
         member[first] = False
         name = (key[0].as_py() << 32) | h.astype(np.int64)
-        bucket = pa.array(name[member], mask=size_of[member] == 2)
+        bucket = pa.array(name[member], mask=(size_of[member] == 2) & (not split))
         return pa.table({"a": centre[member], "b": u[member], "bucket": bucket})
 
     return bands.groupBy("band", "part").applyInArrow(stars, STARS)
@@ -170,7 +190,7 @@ def _cross_batch(n: int, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
 
 
-def large_bucket_pairs(crossed: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def large_bucket_pairs(crossed: DataFrame, left: DataFrame, right: DataFrame, threshold: float, screen: bool = True) -> DataFrame:
     """Likely pairs (a, b) of the large buckets of ``cross_pairs``; repeated where they share several.
 
     Every piece of a side meets every piece of the other, so a bucket is spread over many tasks; the sketches decide inside
@@ -185,7 +205,7 @@ def large_bucket_pairs(crossed: DataFrame, left: DataFrame, right: DataFrame, th
 
     members = crossed.filter("bucket is not null")
     l, r = side(members.filter("a is not null"), "a", left, 0), side(members.filter("b is not null"), "b", right, 1)
-    return sketched_pairs(l, r, threshold, "place", "side")
+    return sketched_pairs(l, r, threshold, "place", "side", screen)
 
 
 def sketch_rows(texts: DataFrame, run: int = RUN) -> DataFrame:
@@ -216,18 +236,32 @@ def _side(df: DataFrame, name: str, *more: str) -> DataFrame:
     return df.select(F.col("uid").alias(name), F.col("filled").alias(f"{name}_f"), *(F.col(f"s{i}").alias(f"{name}{i}") for i in range(4)), *more)
 
 
-def likely(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sketches agree enough; adds ``agree``, the number of equal bits."""
+def likely(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, screen: bool = True) -> DataFrame:
+    """Pairs (a, b) whose sketches agree enough, or all without ``screen``; adds ``agree``, the number of equal bits."""
     both = pairs.join(_side(left, "a"), "a").join(_side(right, "b"), "b")
     both = both.withColumn("agree", F.lit(SKETCH_SIZE) - _differing_bits("a", "b"))
-    return both.filter(F.col("agree") >= _least_agreement(threshold)).select("a", "b", "agree")
+    return (both.filter(F.col("agree") >= _least_agreement(threshold)) if screen else both).select("a", "b", "agree")
+
+
+def in_pieces(left: DataFrame, right: DataFrame, same: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``place`` for ``same``: where a value has more than PIECE rows of a side, these fall into pieces by a
+    hash of uid and every piece meets every piece of the other side, so no task joins a hot value by itself."""
+    sizes = [d.groupBy(same).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias(n)) for d, n in ((left, "_l"), (right, "_r"))]
+    pieces = sizes[0].join(sizes[1], same)
+    out = []
+    for rows, own, other in ((left, "_l", "_r"), (right, "_r", "_l")):
+        held = rows.join(pieces, same).withColumn("_own", F.pmod(F.xxhash64("uid"), F.col(own)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        l, r = ("_own", "_other") if own == "_l" else ("_other", "_own")
+        out.append(held.withColumn("place", F.struct(F.col(same), F.col(l).alias("l"), F.col(r).alias("r"))).drop("_l", "_r", "_own", "_other"))
+    return out[0], out[1]
 
 
-def sketched_pairs(left: DataFrame, right: DataFrame, threshold: float, same: str, other: str) -> DataFrame:
-    """Pairs (a, b) of sketched rows with the same ``same``, different ``other`` and sketches that agree enough."""
+def sketched_pairs(left: DataFrame, right: DataFrame, threshold: float, same: str, other: str, screen: bool = True) -> DataFrame:
+    """Pairs (a, b) of sketched rows with the same ``same``, different ``other`` and, with ``screen``, sketches that agree
+    enough."""
     l, r = _side(left, "a", same, F.col(other).alias("_l")), _side(right, "b", same, F.col(other).alias("_r"))
     enough = (F.lit(SKETCH_SIZE) - _differing_bits("a", "b")) >= _least_agreement(threshold)
-    return l.join(r, same).filter((F.col("_l") != F.col("_r")) & enough).select("a", "b")
+    return l.join(r, same).filter((F.col("_l") != F.col("_r")) & (enough if screen else F.lit(True))).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, run: int = RUN) -> DataFrame:

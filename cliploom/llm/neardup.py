@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm.candidates import band_rows, confirmed, likely, numbered, sketch_rows, sketched_pairs, star_pairs
+from cliploom.llm.candidates import band_parts, band_rows, confirmed, in_pieces, likely, numbered, sketch_rows, sketched_pairs, star_pairs
 from cliploom.llm.components import components
 from cliploom.llm.ledger import members_of
 from cliploom.llm.shingles import RUN, Plan, plan_for
@@ -55,11 +55,12 @@ def entries_of(df: DataFrame, tbl: str, id_col: str, captions: Column) -> DataFr
     return out.withColumn("digest", digest(F.col("key")))
 
 
-def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int = RUN, plan: Plan | None = None) -> DataFrame:
+def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int = RUN, plan: Plan | None = None, screen: bool = True) -> DataFrame:
     """(tbl, keep_id, dup_id) of the groups of rows connected by captions at least ``threshold`` similar, per tbl.
 
     ``entries`` as ``entries_of`` makes them. Copies are collapsed before anything is compared. A row's captions belong
-    together, so a row with several of them can connect their groups.
+    together, so a row with several of them can connect their groups. Without ``screen`` no candidate is turned away by its
+    sketch; with that and the plan ``NEARLY_EXACT`` the result is an exact comparison's but for odds of 10^-9 a pair.
     """
     spark = entries.sparkSession
     work = Work(spark, "neardup")
@@ -74,12 +75,12 @@ def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int =
     plan = plan or plan_for(total)
     # Texts of different tables never meet: each table has buckets of its own, named by its number above band and hash.
     tables = [r.tbl for r in texts.select("tbl").distinct().collect()]  # one entry per table
-    raw = [star_pairs(band_rows(texts.filter(F.col("tbl") == t), plan, total, run)).withColumn("bucket", F.col("bucket") + F.lit(i << 48)) for i, t in enumerate(tables)]
+    raw = [star_pairs(band_rows(texts.filter(F.col("tbl") == t), plan, total, run, split_hot=True), band_parts(total) > 1).withColumn("bucket", F.col("bucket") + F.lit(i << 48)) for i, t in enumerate(tables)]
     raw = work.put(reduce(DataFrame.unionByName, raw), "raw") if raw else spark.createDataFrame([], "a bigint, b bigint, bucket bigint")
     release_shuffles(spark)
 
     sketch = work.put(sketch_rows(texts, run), "sketch")
-    probable = work.put(likely(raw.select("a", "b").distinct(), sketch, sketch, threshold), "probable")
+    probable = work.put(likely(raw.select("a", "b").distinct(), sketch, sketch, threshold, screen), "probable")
     rest = work.put(raw.filter("bucket is not null").select("bucket", F.explode(F.array("a", "b")).alias("uid")).distinct(), "rest")
     work.drop("raw")
     involved = probable.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(rest.select("uid")).distinct()
@@ -98,7 +99,7 @@ def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int =
     edges.append(work.put(confirmed(open_, some, some, threshold, run), "edges1"))
     labels = work.put(components(reduce(DataFrame.unionByName, edges)), "labels1")
 
-    missed = _pairs_besides_centre(work, rest, labels, sketch, threshold)
+    missed = _pairs_besides_centre(work, rest, labels, sketch, threshold, screen)
     edges.append(work.put(confirmed(missed, some, some, threshold, run), "edges2"))
     if not edges[-1].isEmpty():
         labels = work.put(components(reduce(DataFrame.unionByName, edges)), "labels2")
@@ -120,18 +121,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def _pairs_besides_centre(work: Work, rest: DataFrame, labels: DataFrame, sketch: DataFrame, threshold: float) -> DataFrame:
+def _pairs_besides_centre(work: Work, rest: DataFrame, labels: DataFrame, sketch: DataFrame, threshold: float, screen: bool) -> DataFrame:
     """Likely pairs (a, b) of bucket members that are in different groups and of which neither is the bucket's centre.
 
     Each such pair has a member outside the centre's group, so only these are set against the bucket; the sketches decide
-    inside the join and only likely pairs leave it. Members of one group are never paired.
+    inside the join and only likely pairs leave it. Members of one group are never paired. A large bucket meets in pieces.
     """
     placed = rest.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("comp", "uid").alias("comp"))
     info = placed.groupBy("bucket").agg(F.min("uid").alias("centre"), F.min_by("comp", "uid").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     held = placed.join(info.filter("lo <> hi").drop("lo", "hi"), "bucket").filter("uid <> centre").join(sketch, "uid").drop("centre")
     held = work.put(held, "held")
-    outside = held.filter("comp <> home")
-    pairs = sketched_pairs(outside, held, threshold, "bucket", "comp")
+    pairs = sketched_pairs(*in_pieces(held.filter("comp <> home"), held, "bucket"), threshold, "place", "comp", screen)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -29,10 +29,10 @@ def array_entries(df: DataFrame, id_col: str, entries_col: str) -> DataFrame:
     return rows.filter((F.length("key") >= RUN) & F.col("id").isNotNull()).select("id", digest(F.col("key")).alias("digest"), "key")
 
 
-def overlapping_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = THRESHOLD, run: int = RUN, plan: Plan | None = None) -> DataFrame:
+def overlapping_pairs(evaluation: DataFrame, training: DataFrame, threshold: float = THRESHOLD, run: int = RUN, plan: Plan | None = None, screen: bool = True) -> DataFrame:
     """(eval_id, train_id): each pair of rows with texts at least ``threshold`` similar, once.
 
-    Both inputs are (id, digest, key). Equal texts are pairs too.
+    Both inputs are (id, digest, key). Equal texts are pairs too. Without ``screen`` no candidate is turned away by its sketch.
     """
     spark = evaluation.sparkSession
     work = Work(spark, "overlap")
@@ -53,9 +53,9 @@ def overlapping_pairs(evaluation: DataFrame, training: DataFrame, threshold: flo
     large = not raw.filter("bucket is not null").isEmpty()
     if large:  # then the sketches are read twice
         sketches = [work.put(s, f"sketch{i}") for i, s in enumerate(sketches)]
-    near = likely(raw.filter("bucket is null").select("a", "b").distinct(), *sketches, threshold).select("a", "b")
+    near = likely(raw.filter("bucket is null").select("a", "b").distinct(), *sketches, threshold, screen).select("a", "b")
     if large:
-        near = near.unionByName(large_bucket_pairs(raw, *sketches, threshold)).distinct()
+        near = near.unionByName(large_bucket_pairs(raw, *sketches, threshold, screen)).distinct()
     near = work.put(near, "near")
     work.drop("raw")
     found = work.put(confirmed(near, eval_texts, train_texts, threshold, run), "found")

@@ -96,6 +96,46 @@ def test_subset_of_few_cells(spark):
     assert coverage.varied_subset(cells(spark, []), 10, 20).count() == 0
 
 
+def brute_subset(rows, wanted, length):
+    """The rule said plainly: the shortest prefix with enough cells, cells in order, rounds, an even choice in the last."""
+    best = {}
+    for i, p, place in rows:
+        old = best.get(i, (p, place))
+        best[i] = (min(p, old[0]), min(place, old[1]))
+    if len(best) <= wanted:
+        return {(i, place) for i, (_, place) in best.items()} if wanted > 0 else set()
+    prefix = next((s for s in range(length) if len({pl >> (length - s) for _, pl in best.values()}) >= wanted), length)
+    cells = {}
+    for i, (p, place) in best.items():
+        cells.setdefault(place >> (length - prefix), []).append((p, i))
+    out, left, full = set(), wanted, 0
+    while True:
+        deep = sorted(c for c, held in cells.items() if len(held) > full)
+        if len(deep) >= left:
+            chosen = [c for r, c in enumerate(deep) if (r + 1) * left // len(deep) > r * left // len(deep)]
+            return out | {(sorted(cells[c])[full][1], c) for c in chosen}
+        out |= {(sorted(cells[c])[full][1], c) for c in deep}
+        full, left = full + 1, left - len(deep)
+
+
+@pytest.mark.parametrize("length", [9, 20, 30])
+def test_subset_equals_the_plain_rule(spark, length):
+    rng = random.Random(length)
+    for n, hot, wanted in ((400, 0.0, 40), (400, 0.9, 60), (300, 0.99, 290), (300, 1.0, 7), (50, 0.5, 50), (60, 0.3, 1)):
+        rows = [(rng.randrange(n * 2), rng.randint(0, 2), 3 if rng.random() < hot else rng.randrange(1 << length)) for _ in range(n)]
+        got = coverage.varied_subset(cells(spark, rows), wanted, length).collect()
+        assert {(r.id, r.cell) for r in got} == brute_subset(rows, wanted, length), (n, hot, wanted)
+
+
+def test_a_dominant_cell_takes_few_jobs(spark):
+    rows = [(i, 0, 5 if i >= 10 else i * 1000) for i in range(4000)]
+    spark.sparkContext.setJobGroup("dominant", "subset")
+    got = coverage.varied_subset(cells(spark, rows), 200, 20).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("dominant")
+    spark.sparkContext.setJobGroup("", "")
+    assert {(r.id, r.cell) for r in got} == brute_subset(rows, 200, 20) and len(jobs) < 40
+
+
 def test_features_of_unusual_texts(spark):
     rows = [(1, ["a b c"], "x"), (2, ["C, b; A!"], "x"), (3, None, "x"), (4, ["", None, "..."], "x"), (None, ["a"], "x"), (5, ["word " * 50_000], "x"), (6, ["a b", "c"], "x")]
     f = {r.id: r for r in coverage.word_features(spark.createDataFrame(rows, "clip_id bigint, cap array<string>, f0 string"), "clip_id", "cap", F.lit(0)).collect()}
