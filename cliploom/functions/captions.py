@@ -52,6 +52,15 @@ _STEPS = [
 LOCATION_CHARS, PART_CHARS, SEEN_CHARS, LEAST_CHARS = 15, 8, 150, 20
 
 
+#: Any white space, as a class that Java, RE2 and Python read alike.
+WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends, line ends and wide blanks included."""
+    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
+
+
 def strip_camera_motion(caption: Column) -> Column:
     """A caption without the descriptions of camera movement.
 
@@ -61,10 +70,10 @@ def strip_camera_motion(caption: Column) -> Column:
     text = caption
     for pattern, by in _STEPS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
-    text = F.trim(text)
-    location = F.trim(F.regexp_extract(caption, _OPENING, 1))
+    text = stripped(text)
+    location = stripped(F.regexp_extract(caption, _OPENING, 1))
     named = F.regexp_replace(location, r"[,. ]+$", "")
-    parts = F.filter(F.transform(F.split(named, ","), F.trim), lambda p: F.length(p) > PART_CHARS)
+    parts = F.filter(F.transform(F.split(named, ","), stripped), lambda p: F.length(p) > PART_CHARS)
     seen = F.exists(parts, lambda p: F.lower(F.substring(text, 1, SEEN_CHARS)).contains(F.lower(p)))
     text = F.when((F.length(location) > LOCATION_CHARS) & ~seen, F.concat(named, F.lit(". "), text)).otherwise(text)
     text = F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
@@ -79,7 +88,7 @@ def unescaped_html(text: pd.Series) -> pd.Series:
 
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, rf"{WHITE}+", " "))
 
 
 def cleaned(text: Column) -> Column:

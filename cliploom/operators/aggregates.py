@@ -15,8 +15,8 @@ def moments(df: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame
 
 
 def recommended(groups: DataFrame, digits: int = 5) -> DataFrame:
-    """(mean, std): the plain means of the groups' means and deviations."""
-    return groups.agg(F.round(F.avg("mean"), digits).alias("mean"), F.round(F.avg("std"), digits).alias("std"))
+    """(mean, variance): the plain means of the groups' means and population variances."""
+    return groups.agg(F.round(F.avg("mean"), digits).alias("mean"), F.round(F.avg("variance"), digits).alias("variance"))
 
 
 def amplitude_and_smoothness(df: DataFrame, group: str, order: list, value: str, digits: int = 6) -> DataFrame:
@@ -27,6 +27,24 @@ def amplitude_and_smoothness(df: DataFrame, group: str, order: list, value: str,
     return rows.groupBy(group).agg(F.round(F.abs(F.avg(value)), digits).alias("amplitude"), F.round((255 - step) / 255, digits).alias("smoothness"))
 
 
+def metric_detail(scores: DataFrame, metric: str, ident: str, score: str) -> DataFrame:
+    """(metric, average_score, num_items, items): the mean over items that have a score, and these items by id. An
+    evaluation has few items per metric."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(ident).alias("id"), F.col(score).alias("score"))))
+    rows = scores.filter(F.col(score).isNotNull())
+    return rows.groupBy(metric).agg(F.avg(score).alias("average_score"), F.count(F.lit(1)).alias("num_items"), items.alias("items"))
+
+
+def frame_mean(frames: DataFrame, item: str, score: str) -> DataFrame:
+    """(item, score): the mean of an item's frame scores, which run to ten, as a part of one."""
+    return frames.groupBy(item).agg(F.avg(F.col(score) / 10).alias("score"))
+
+
+def reward_means(rewards: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
+    """One row with the mean of each reward over a batch."""
+    return rewards.agg(*(F.round(F.avg(n), digits).alias(n) for n in names))
+
+
 def outcome_counts(df: DataFrame, **tests: Column) -> DataFrame:
     """One row with the number of rows that each test holds for, and of all."""
     return df.agg(*(F.count_if(t).alias(n) for n, t in tests.items()), F.count(F.lit(1)).alias("total"))

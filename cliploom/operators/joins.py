@@ -84,12 +84,12 @@ def nearest(value: Column, grid: list[float]) -> Column:
 
 
 def full_resolution_path(path: Column, height: Column, width: Column) -> Column:
-    """The path of the full-size sample that a half- or quarter-size one was made of."""
-    out = F.replace(F.replace(path, F.lit("/mid/"), F.lit("/")), F.lit("/low/"), F.lit("/"))
-    full = F.format_string("_%d_%d.pt", height, width)
+    """The path of the full-size sample, of ``height`` x ``width``, that a half- or quarter-size one was made of: without the
+    folder of the smaller size and with the full size in the name."""
+    out = F.replace(F.replace(path, F.lit("/mid"), F.lit("")), F.lit("/low"), F.lit(""))
+    full = F.format_string("%d_%d", height, width)
     for part in (2, 4):
-        small = F.format_string("_%d_%d.pt", F.floor(height / part).cast("int"), F.floor(width / part).cast("int"))
-        out = F.when(out.endswith(small), F.concat(F.substring(out, F.lit(1), F.length(out) - F.length(small)), full)).otherwise(out)
+        out = F.replace(out, F.format_string("%d_%d", F.floor(height / part).cast("int"), F.floor(width / part).cast("int")), full)
     return out
 
 

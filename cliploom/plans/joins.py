@@ -79,11 +79,18 @@ def vocab_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sibling_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples that are half- or quarter-size versions of another listed sample."""
-    s = table(spark, sf_dir, "latent_sample").select("sample_id", "file_path")
-    small = s.withColumn("full_path", joins.full_resolution_path(F.col("file_path"), F.lit(384), F.lit(640))).filter("full_path <> file_path")
+    """The full-size sample of each half- and quarter-size one. Smaller versions of all samples are listed beside them, as
+    the tools that make them would name them, and found by nothing but their paths and sizes."""
+    s = table(spark, sf_dir, "latent_sample").filter("height is not null and width is not null")
+    stem_of = F.regexp_extract("file_path", r"^(.*)_\d+_\d+\.pt$", 1)
+    small = []
+    for part, folder in ((2, "mid"), (4, "low")):
+        h, w = F.floor(F.col("height") / part).cast("int"), F.floor(F.col("width") / part).cast("int")
+        name = F.regexp_replace(stem_of, r"/([^/]*)$", F.concat(F.lit(f"/{folder}/"), F.lit("$1")))
+        small.append(s.filter(stem_of != "").select("sample_id", F.lit(part).alias("part"), F.format_string("%s_%d_%d.pt", name, h, w).alias("path"), "height", "width"))
+    listed = small[0].unionByName(small[1]).withColumn("full_path", joins.full_resolution_path(F.col("path"), F.col("height"), F.col("width")))
     full = s.groupBy(F.col("file_path").alias("full_path")).agg(F.min("sample_id").alias("full_id"))
-    return small.join(full, "full_path").select("sample_id", "full_id")
+    return listed.join(full, "full_path").select("sample_id", "part", "full_id")
 
 
 def positional_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +146,9 @@ SELECT clip_id, coalesce(actions, '') AS actions FROM clips LEFT JOIN n ON n.id
     "nearest_point_first_tie": (nearest_point_first_tie, f"""WITH g(place, point) AS ({dims.sql_values(list(enumerate(GRID)))}),
 r AS (SELECT p_partkey, place, point, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_retailprice - point), place) AS rn FROM part, g) SELECT p_partkey, place, point FROM r WHERE rn = 1"""),
     "vocab_cross": (vocab_cross, f"WITH {_VOC} SELECT action_id, keys, mouse, count(seg_id) AS segments FROM voc LEFT JOIN action_segments ON action_keys = keys AND action_mouse = mouse GROUP BY ALL"),
-    "sibling_resolution": (sibling_resolution, """
-WITH s AS (SELECT sample_id, file_path, CASE WHEN ends_with(file_path, '_192_320.pt') THEN left(file_path, length(file_path) - 11) || '_384_640.pt' WHEN ends_with(file_path, '_96_160.pt') THEN left(file_path, length(file_path) - 10) || '_384_640.pt' ELSE file_path END AS full_path FROM latent_sample),
-f AS (SELECT file_path, min(sample_id) AS full_id FROM latent_sample GROUP BY 1) SELECT s.sample_id, full_id FROM s JOIN f ON f.file_path = s.full_path WHERE s.full_path <> s.file_path"""),
+    "sibling_resolution": (sibling_resolution, r"""
+WITH f AS (SELECT sample_id, file_path, min(sample_id) OVER (PARTITION BY file_path) AS full_id FROM latent_sample WHERE height IS NOT NULL AND width IS NOT NULL)
+SELECT sample_id, part, full_id FROM f, (VALUES (2), (4)) p(part) WHERE regexp_matches(file_path, '_[0-9]+_[0-9]+\.pt$')"""),
     "positional_alignment": (positional_alignment, """
 WITH p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM eval_prompt), s AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS sp, count(*) OVER () AS n FROM lang_sample),
 c AS (SELECT config_id, row_number() OVER (ORDER BY config_id) - 1 AS cp, count(*) OVER () AS n FROM data_config)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cliploom.functions.captions import WHITE
 from cliploom.operators import sampling, windows
 from cliploom.session import table
 
@@ -74,6 +75,8 @@ _DEAL = f"WITH p AS (SELECT id, row_number() OVER (ORDER BY {_K.format('id', 5)}
 _SEC = "WITH c AS (SELECT clip_id, CAST(greatest(1, ceil(num_frames / 33)) AS INTEGER) AS s FROM toy_filter WHERE num_frames > 0)"
 _TARGETS = {g: max(1, int(1500 * r / sum(RATIOS.values()))) for g, r in RATIOS.items()}
 
+_WHITE = WHITE  # the same class in SQL
+
 QUERIES = {
     "rank_stride": (rank_stride, "SELECT prompt_id FROM (SELECT prompt_id, row_number() OVER (ORDER BY prompt_id) - 1 AS p FROM prompt_table) WHERE p % 8 = 3"),
     "padded_shards": (padded_shards, _DEAL + ", a AS (SELECT id, place FROM p UNION ALL SELECT id, place + n FROM p WHERE place < (7 - n % 7) % 7) SELECT id, CAST(place % 7 AS INTEGER) AS rank, place FROM a"),
@@ -92,7 +95,7 @@ SELECT sample_id, bucket, rk // 16 AS batch, {_K.format("(bucket || '/' || (rk /
 SELECT concat_ws('x', height, width) AS bucket, count(*) AS samples, CAST(ceil(ceil(count(*) / 4) / 16) AS BIGINT) AS batches_all, CAST(floor(floor(count(*) / 4) / 16) AS BIGINT) AS batches FROM latent_sample GROUP BY 1"""),
     "chunk_pick": (chunk_pick, _SEC + f" SELECT clip_id, CAST(('0x' || left({_K.format('clip_id', 1000003)}, 8)) AS BIGINT) % s AS chunk FROM c"),
     "caption_dropout": (caption_dropout, f"SELECT vec_id, CAST(('0x' || left({_K.format('vec_id', 3)}, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.1::DOUBLE OR list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') = 0 AS dropped FROM embeddings"),
-    "distinct_prompts": (distinct_prompts, f"SELECT prompt FROM (SELECT DISTINCT trim(prompt) AS prompt FROM prompt_table) WHERE prompt <> '' ORDER BY {_K.format('prompt', 2)}, prompt LIMIT 200"),
+    "distinct_prompts": (distinct_prompts, f"SELECT prompt FROM (SELECT DISTINCT regexp_replace(prompt, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS prompt FROM prompt_table) WHERE prompt <> '' ORDER BY {_K.format('prompt', 2)}, prompt LIMIT 200"),
     "section_choice": (section_choice, _SEC + f""", e AS (SELECT clip_id, s, unnest(range(0, s)) AS k FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY {_K.format("(clip_id || '/' || k)", 8)}, k) AS rk FROM e)
 SELECT clip_id, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS chosen FROM r WHERE rk <= least(3, s) GROUP BY clip_id"""),
 }

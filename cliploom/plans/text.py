@@ -64,14 +64,9 @@ def action_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def even_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _prompts(spark, sf_dir).select("prompt_id", _words().alias("w")).filter(F.size("w") > 0).withColumn("head", F.slice("w", 1, 12))
-    return rows.select("prompt_id", F.array_join(actions.spread(F.col("head"), 17), " ").alias("over_17"), F.array_join(actions.spread(F.col("w"), 9), " ").alias("over_9"))
-
-
-def even_distribution_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of each prompt over five places more than it has words."""
+    """All words of each prompt over five places more than it has words, and over nine places."""
     rows = _prompts(spark, sf_dir).select("prompt_id", _words().alias("w")).filter(F.size("w") > 0)
-    return rows.select("prompt_id", F.array_join(actions.spread(F.col("w"), F.size("w") + 5), " ").alias("words"))
+    return rows.select("prompt_id", F.array_join(actions.spread(F.col("w"), F.size("w") + 5), " ").alias("words"), F.array_join(actions.spread(F.col("w"), 9), " ").alias("over_9"))
 
 
 def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +128,8 @@ SELECT prompt_id, array_to_string(list_transform(a, lambda x: coalesce(x.keys, '
     "dirname_parse": (dirname_parse, "SELECT seg_id, coalesce(action_keys, NULL) AS keys, CASE WHEN action_keys IS NULL THEN NULL WHEN action_mouse IN ('↑', '↓', '←', '→', '↑←', '↑→', '↓←', '↓→') THEN action_mouse ELSE '·' END AS mouse FROM action_segments"),
     "action_text_lines": (action_text_lines, "SELECT seg_id, coalesce(action_keys, action_mouse, 'None') AS keys, CASE WHEN action_keys IS NULL THEN '·' ELSE coalesce(action_mouse, '·') END AS mouse FROM action_segments"),
     "even_distribution": (even_distribution, _W + """
-SELECT prompt_id, array_to_string(flatten(list_transform(w[1:12], lambda x, i: list_transform(range(0, 17 // least(12, len(w)) + CASE WHEN i <= 17 % least(12, len(w)) THEN 1 ELSE 0 END), lambda k: x))), ' ') AS over_17,
+SELECT prompt_id, array_to_string(flatten(list_transform(w, lambda x, i: list_transform(range(0, (len(w) + 5) // len(w) + CASE WHEN i <= (len(w) + 5) % len(w) THEN 1 ELSE 0 END), lambda k: x))), ' ') AS words,
   array_to_string(flatten(list_transform(w, lambda x, i: list_transform(range(0, 9 // len(w) + CASE WHEN i <= 9 % len(w) THEN 1 ELSE 0 END), lambda k: x))), ' ') AS over_9 FROM v"""),
-    "even_distribution_all": (even_distribution_all, _W + """
-SELECT prompt_id, array_to_string(flatten(list_transform(w, lambda x, i: list_transform(range(0, (len(w) + 5) // len(w) + CASE WHEN i <= (len(w) + 5) % len(w) THEN 1 ELSE 0 END), lambda k: x))), ' ') AS words FROM v"""),
     "pad_truncate": (pad_truncate, _W + " SELECT prompt_id, array_to_string(list_transform(range(1, 61), lambda i: w[least(i, len(w))]), ' ') AS words, w[least(100, len(w))] AS beyond FROM v"),
     "ordered_prompt_list": (ordered_prompt_list, """
 SELECT id, md5(array_to_string(list(coalesce(refined_prompt, prompt, '') ORDER BY prompt_id), '|')) AS digest, CAST(count(*) AS INTEGER) AS n, arg_min_null(action_keys, prompt_id) AS keys, arg_min_null(action_mouse, prompt_id) AS mouse FROM prompt_table WHERE id IS NOT NULL GROUP BY 1"""),

@@ -113,7 +113,7 @@ SELECT vec_id, {_TXT.format('list_transform(v, lambda x: (x - m) * 1.4::DOUBLE +
     "packed_offsets": (packed_offsets, """
 WITH l AS (SELECT l_orderkey, l_linenumber, sum(CAST(trunc(l_quantity) AS BIGINT)) AS n FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, CAST(sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS cu_seqlen FROM l"""),
     "moments_by_group": (moments_by_group, _E + ", x AS (SELECT label, unnest(v) AS x FROM e) SELECT label, count(*) AS n, round(avg(x), 6) AS mean, round(avg(x * x) - avg(x) * avg(x), 6) AS variance, round(sqrt(avg(x * x) - avg(x) * avg(x)), 6) AS std FROM x GROUP BY 1"),
-    "recommended_moments": (recommended_moments, _E + ", x AS (SELECT label, unnest(v) AS x FROM e), g AS (SELECT label, round(avg(x), 6) AS mean, round(sqrt(avg(x * x) - avg(x) * avg(x)), 6) AS std FROM x GROUP BY 1) SELECT round(avg(mean), 5) AS mean, round(avg(std), 5) AS std FROM g"),
+    "recommended_moments": (recommended_moments, _E + ", x AS (SELECT label, unnest(v) AS x FROM e), g AS (SELECT label, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM x GROUP BY 1) SELECT round(avg(mean), 5) AS mean, round(avg(variance), 5) AS variance FROM g"),
     "amplitude_smoothness": (amplitude_smoothness, _E + """, x AS (SELECT label, vec_id, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM e), d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY label ORDER BY vec_id, pos)) AS d, row_number() OVER (PARTITION BY label ORDER BY vec_id, pos) - 1 AS rn FROM x)
 SELECT label, round(abs(avg(x)), 6) AS amplitude, round((255 - avg(CASE WHEN rn % 2 = 1 THEN d END)) / 255, 6) AS smoothness FROM d GROUP BY 1"""),
     "sample_variance": (sample_variance, _E + ", x AS (SELECT vec_id, unnest(v) AS x FROM e) SELECT vec_id, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance FROM x GROUP BY 1"),

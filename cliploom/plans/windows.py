@@ -81,12 +81,6 @@ def _lerp_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_lerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector's first steps on the way from the vector before it of its label."""
-    steps = _lerp_steps(spark, sf_dir)
-    return steps.select("vec_id", "step", F.round(F.element_at(lerp(F.col("p"), F.col("v"), F.col("step") / 2), 1), 6).alias("first"), F.round(F.element_at(lerp(F.col("p"), F.col("v"), F.col("step") / 2), 64), 6).alias("last"))
-
-
-def interval_lerp_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All entries of the steps of ``interval_lerp``."""
     return _lerp_steps(spark, sf_dir).select("vec_id", "step", as_text(lerp(F.col("p"), F.col("v"), F.col("step") / 2)).alias("vector"))
 
 
@@ -123,10 +117,7 @@ SELECT user_id, round(s, 6) AS start_mean, round(e, 6) AS end_mean, round(abs(s
     "cumulative_schedule": (cumulative_schedule, """
 WITH l AS (SELECT l_orderkey, l_linenumber, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS length FROM lineitem GROUP BY 1, 2), e AS (SELECT *, CAST(sum(length) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS ends FROM l)
 SELECT *, ends - length AS begins FROM e"""),
-    "interval_lerp": (interval_lerp, """
-WITH v AS (SELECT vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
-SELECT vec_id, CAST(step AS INTEGER) AS step, round(CAST(p[1] AS DOUBLE) * (1 - step / 2) + CAST(v[1] AS DOUBLE) * (step / 2), 6) AS first, round(CAST(p[64] AS DOUBLE) * (1 - step / 2) + CAST(v[64] AS DOUBLE) * (step / 2), 6) AS last FROM v, range(0, 3) s(step) WHERE p IS NOT NULL"""),
-    "interval_lerp_vector": (interval_lerp_vector, f"""
+    "interval_lerp": (interval_lerp, f"""
 WITH v AS (SELECT vec_id, embedding AS v, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
 SELECT vec_id, CAST(step AS INTEGER) AS step, {_T.format('list_transform(range(1, len(v) + 1), lambda i: CAST(p[i] AS DOUBLE) * (1 - step / 2) + CAST(v[i] AS DOUBLE) * (step / 2))')} AS vector FROM v, range(0, 3) s(step) WHERE p IS NOT NULL"""),
     "stride_two": (stride_two, f"SELECT vec_id, {_T.format('list_transform(range(1, len(embedding) // 2 + 1), lambda i: CAST(embedding[2 * i] AS DOUBLE))')} AS odd FROM embeddings"),

@@ -48,7 +48,7 @@ def test_plans_read_only_what_they_need(spark, sf):
 
 def test_even_distribution_of_all_words(spark, sf):
     prompts = {r.prompt_id: [w for w in re.split(r"[ \t\n\x0b\f\r]+", r.prompt) if w] for r in spark.read.parquet(f"{sf}/prompt_table.parquet").filter("prompt is not null").collect()}
-    got = {r.prompt_id: r.words.split(" ") for r in QUERIES["even_distribution_all"](spark, sf).collect()}
+    got = {r.prompt_id: r.words.split(" ") for r in QUERIES["even_distribution"](spark, sf).collect()}
     assert any(len(w) > 17 for w in prompts.values())
     for i, w in got.items():
         n, more = divmod(len(w), len(prompts[i]))
@@ -62,6 +62,6 @@ def test_interval_lerp_gives_whole_vectors(spark, sf):
             for step in range(3):
                 expected[r.vec_id, step] = [x + (y - x) * step / 2 for x, y in zip(p, r.embedding, strict=True)]
         last[r.label] = r.embedding
-    got = {(r.vec_id, r.step): [float(x) for x in r.vector.split(",")] for r in QUERIES["interval_lerp_vector"](spark, sf).collect()}
+    got = {(r.vec_id, r.step): [float(x) for x in r.vector.split(",")] for r in QUERIES["interval_lerp"](spark, sf).collect()}
     assert got.keys() == expected.keys() and {len(v) for v in got.values()} == {64}
     assert all(abs(x - y) < 1e-6 for k, v in got.items() for x, y in zip(v, expected[k], strict=True))
