@@ -65,6 +65,20 @@ def middle_frames(wanted: int, length: Column) -> Column:
     return F.when(length > 0, padded(picked, wanted))
 
 
+def random_frames(wanted: int, length: Column, ident: Column, seed: str | int = 0) -> Column:
+    """A frame of each of ``wanted`` equal intervals by hash, never an interval's last; where an interval has no other frame,
+    as many frames of all as are wanted. The last one is repeated where there are fewer frames; null for no frames."""
+    from cliploom.operators.sampling import pick, shuffle_key
+
+    n = F.least(F.lit(wanted), length)
+    edge = lambda i: F.when(i == n, length).otherwise(F.floor(i.cast("double") * (length / n)).cast("int"))
+    intervals = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(i.alias("i"), edge(i).alias("a"), (edge(i + 1) - 1 - edge(i)).alias("n")))
+    each = F.transform(intervals, lambda x: (x["a"] + pick(F.concat_ws("/", ident.cast("string"), x["i"].cast("string")), seed, x["n"])).cast("int"))
+    keyed = F.transform(F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1), lambda f: F.struct(shuffle_key(F.concat_ws("/", ident.cast("string"), f.cast("string")), seed).alias("h"), f.alias("f")))
+    some = F.array_sort(F.transform(F.slice(F.array_sort(keyed), F.lit(1), n), lambda k: k["f"].cast("int")))
+    return F.when(length > 0, padded(F.when(F.exists(intervals, lambda x: x["n"] <= 0), some).otherwise(each), wanted))
+
+
 def fps_frames(fps_out: float, length: Column, fps_in: Column) -> Column:
     """Frames at ``fps_out`` from the middle of the first interval on, half-way cases to even."""
     gap = 1.0 / fps_out
@@ -122,6 +136,22 @@ def uniform_frames(total: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.bround(i * ((total - 1) / F.lit(n - 1))).cast("int"))
 
 
+def spaced(first: Column, last: Column, n: Column) -> Column:
+    """n whole numbers from first to last, half-way cases to even."""
+    gap = F.when(n > 1, (last - first) / (n - 1)).otherwise(F.lit(0.0))
+    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.bround(first + i * gap).cast("int"))
+
+
+def point_frames(total: Column, fps: Column, points: int = 4, each: int = 6, wanted_fps: int = 8) -> Column:
+    """``each`` neighbouring frames around ``points`` places of a clip seen at ``wanted_fps``; null where the clip is too short
+    for one place."""
+    n = F.floor(total * wanted_fps / fps).cast("int")
+    frames, half = spaced(F.lit(0), total - 1, n), each // 2
+    places = spaced(F.lit(half), n - half - 1, F.lit(points))
+    picked = F.flatten(F.transform(places, lambda p: F.slice(frames, p - half + 1, F.lit(each))))
+    return F.when(n > each, picked)
+
+
 def centre_crop(height: Column, width: Column, to_height: Column, to_width: Column) -> Column:
     """struct(top, left, height, width) of the largest centred rectangle of the target's aspect."""
     wide = width * to_height > height * to_width

@@ -14,6 +14,14 @@ def only_in_first(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     return a.select(*keys).subtract(b.select(*keys))
 
 
+def run_pairs(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, first, second, place): the outputs of two runs under the same keys side by side, in order of the keys."""
+    from cliploom.operators.ordering import positions
+
+    both = a.select(*keys, F.col(value).alias("first")).join(b.select(*keys, F.col(value).alias("second")), keys)
+    return positions(both, [F.col(k) for k in keys] + [F.col("first"), F.col("second")], "place")
+
+
 def all_by_name(*parts: DataFrame) -> DataFrame:
     """UNION ALL by column name; columns that a part lacks are null."""
     out = parts[0]

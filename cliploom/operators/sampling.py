@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cliploom.functions.captions import stripped
 from cliploom.operators.ordering import positions, with_totals
 
 
@@ -97,10 +98,35 @@ def batch_counts(df: DataFrame, bucket: str, size: int, groups: int, drop_last:
 
 def distinct_prompts(df: DataFrame, text: str, limit: int | None, seed: str | int = 0) -> DataFrame:
     """Distinct trimmed non-blank texts in shuffled order, at most ``limit`` of them."""
-    rows = df.select(F.trim(text).alias("prompt")).filter("prompt <> ''").distinct().orderBy(shuffle_key(F.col("prompt"), seed), "prompt")
+    rows = df.select(stripped(F.col(text)).alias("prompt")).filter("prompt <> ''").distinct().orderBy(shuffle_key(F.col("prompt"), seed), "prompt")
     return rows if limit is None else rows.limit(limit)
 
 
+def first_by_hash(df: DataFrame, ident: str, n: int, seed: str | int = 0) -> DataFrame:
+    """n rows chosen by hash; every task keeps its n best, so no table is sorted as a whole."""
+    return df.orderBy(shuffle_key(F.col(ident), seed), ident).limit(n)
+
+
+def remaining_sample(work: DataFrame, done: DataFrame, key: str, order: list[str], most: int, seed: str | int = 0) -> DataFrame:
+    """Work whose key is not done yet, at most ``most`` rows of it by hash (all for 0), with ``position`` in the given order."""
+    left = work.join(done.select(key), key, "left_anti")
+    if most <= 0:
+        return positions(left, [F.col(c) for c in order])
+    return first_by_hash(left, key, most, seed).withColumn("position", F.row_number().over(W.orderBy(*order)) - 1)  # at most ``most`` rows
+
+
+def substituted(df: DataFrame, ident: str, bucket: str, good: Column, seed: str | int = 0) -> DataFrame:
+    """(ident, used): every row by itself if it is good, else by a good row of its bucket, chosen by hash; null where the
+    bucket has none. Good rows are numbered within parts of their bucket, so no bucket is gathered."""
+    rows = df.select(ident, bucket, good.alias("_good"))
+    fine = _ranked(rows.filter("_good"), bucket, ident, seed).select(F.col(bucket).alias("_b"), F.col("_rank").alias("_r"), F.col(ident).alias("_used"))
+    many = rows.filter("_good").groupBy(F.col(bucket).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    broken = rows.filter(~F.coalesce("_good", F.lit(False)))
+    wanted = broken.join(many, F.col(bucket).eqNullSafe(F.col("_b")), "left").withColumn("_r", pick(F.col(ident), seed, F.col("_n"))).drop("_b")
+    replaced = wanted.join(fine, F.col(bucket).eqNullSafe(F.col("_b")) & (wanted["_r"] == fine["_r"]), "left").select(ident, F.col("_used").alias("used"))
+    return rows.filter("_good").select(ident, F.col(ident).alias("used")).unionByName(replaced)
+
+
 def section_choice(sections: Column, chosen: Column, ident: Column, seed: str | int = 0) -> Column:
     """A sorted choice of ``chosen`` section numbers, without repetition."""
     keyed = F.transform(F.sequence(F.lit(0), sections - 1), lambda s: F.struct(shuffle_key(F.concat_ws("/", ident.cast("string"), s.cast("string")), seed).alias("h"), s.alias("s")))

@@ -41,6 +41,44 @@ def history_dropout(history: Column, kept: int) -> Column:
     return F.transform(history, lambda x, i: F.when(i < F.size(history) - kept, F.lit(0.0)).otherwise(x))
 
 
+def dropped_entries(ident: Column, size: int, text: float, image: float, video: float, window: int = TARGET, seed: str = "drop") -> Column:
+    """How many of the oldest entries of a history of ``size`` a sample drops, by chance: all (text only), all but the newest
+    (an image), or the part before the last whole windows and some of these windows (a video); else none."""
+    from cliploom.operators.sampling import chance, pick
+
+    windows = F.lit(size % window) + pick(ident, f"{seed}-windows", F.lit(size // window + 1)) * window
+    by = lambda name, share: (F.lit(share) != 0) & (chance(ident, f"{seed}-{name}") <= share)
+    return F.when(by("text", text), F.lit(size)).when(by("image", image), F.lit(max(0, size - 1))).when(by("video", video), windows).otherwise(0).cast("int")
+
+
+def oldest_zeroed(history: Column, dropped: Column) -> Column:
+    return F.transform(history, lambda x, i: F.when(i < dropped, F.lit(0.0)).otherwise(x))
+
+
+def rollout_range(sections: Column, rollout: int, ident: Column, history: int = HISTORY, window: int = TARGET, seed: str | int = 0) -> Column:
+    """struct(start, end) of a stretch of ``rollout`` sections, chosen by hash, with the history before it. The query fails
+    where there are fewer sections."""
+    from cliploom.operators.sampling import pick
+
+    room = sections - F.lit(rollout)
+    start = (F.when(room >= 0, pick(ident, seed, room + 1)).otherwise(F.raise_error(F.format_string("%d sections are fewer than %d", sections, F.lit(rollout)))) * window).cast("int")
+    return F.struct(start.alias("start"), (start + history + rollout * window).alias("end"))
+
+
+def interval_steps(intervals: DataFrame, key: str, order: str, length: str, value: str, steps: int) -> DataFrame:
+    """(key, section, value): of every section of a key its interval's vector; in the first ``steps`` sections of a later
+    interval one on the way from the interval before it. An interval's sections follow from its own bounds, so no section is
+    compared with intervals that do not hold it."""
+    from cliploom.functions.vectors import lerp
+
+    seq = W.partitionBy(key).orderBy(order)
+    rows = schedule(intervals, key, order, length).withColumn("_before", F.lag(value).over(seq)).filter(F.col("ends") > F.col("begins"))
+    rows = rows.withColumn("section", F.explode(F.sequence("begins", F.col("ends") - 1)))
+    at = (F.col("section") - F.col("begins")) / F.lit(float(max(1, steps - 1)))
+    moving = F.col("_before").isNotNull() & (F.col("section") - F.col("begins") < steps)
+    return rows.select(key, "section", F.when(moving, lerp(F.col("_before"), F.col(value), at)).otherwise(F.col(value)).alias(value))
+
+
 def numbered(df: DataFrame, key: str, order: list, name: str = "rn") -> DataFrame:
     """0-based place within the key."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)

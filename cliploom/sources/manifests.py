@@ -76,6 +76,18 @@ def latent_names(listing: DataFrame, path_col: str = "path", pattern: str = _NAM
     return out.withColumn("root", F.regexp_extract(path_col, r"^(.*)/[^/]*$", 1))
 
 
+def folder_samples(listing: DataFrame, source_type: str, shape: tuple[int, int, int] | None = None, any_length: bool = False, path_col: str = "path") -> DataFrame:
+    """(uttid, dataset_name, file_path, source_type) of the .pt files of a folder's listing; the uttid is the whole stem. Of
+    type "gan" only files of the shape (frames, height, width) count, or of its height and width with ``any_length``."""
+    name = F.regexp_extract(path_col, r"([^/]*)$", 1)
+    rows = listing.filter(name.endswith(".pt"))
+    if source_type == "gan":
+        frames, height, width = shape
+        ends = rf"_{height}_{width}\.pt$" if any_length else rf"_{frames}_{height}_{width}\.pt$"
+        rows = rows.filter(name.rlike(ends))
+    return rows.select(F.regexp_replace(name, r"\.pt$", "").alias("uttid"), F.regexp_extract(path_col, r"^(.*?)/*[^/]*$", 1).alias("dataset_name"), F.col(path_col).alias("file_path"), F.lit(source_type).alias("source_type"))
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, length, modificationTime) of files; contents are not read."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(folder).select("path", "length", "modificationTime")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cliploom.functions.captions import stripped
 from cliploom.functions.shapes import stem
+from cliploom.sources.files import exists
 
 #: Column names of other dialects, and what they mean here.
 RENAMED = {"videoFile": "video_name", "caption": "prompt", "caption_original": "prompt_original"}
@@ -14,10 +18,11 @@ VIDEO_COLUMNS = ("videoFile", "video_name", "id")
 
 
 def read_tables(spark: SparkSession, paths: str) -> DataFrame:
-    """Comma-separated paths of .csv, .tsv or .tab files with a header, brought to one schema."""
+    """Comma-separated paths of .csv, .tsv or .tab files, or others whose separator their first line shows, with a header,
+    brought to one schema."""
     parts = []
     for path in filter(None, (p.strip() for p in paths.split(","))):
-        sep = "\t" if path.lower().endswith((".tsv", ".tab")) else ","
+        sep = separator_of(spark, path)
         parts.append(normalized(spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)))
     out = parts[0]
     for p in parts[1:]:
@@ -59,19 +64,73 @@ def label_records(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.coalesce(F.nullif("refined_prompt", F.lit("")), "prompt")).withColumn("action_class", F.coalesce(F.nullif("action_class", F.lit("")), F.lit("scene")))
 
 
+def read_captions_tsv(spark: SparkSession, path: str) -> DataFrame:
+    """(video, fields) of a tab-separated file with a header: lines of three fields or more, by the first one without .mp4; of
+    a video's lines the last one holds."""
+    lines = numbered_lines(spark, path).filter("line_no > 0").withColumn("fields", F.split("line", "\t")).filter(F.size("fields") >= 3)
+    rows = lines.select(F.get("fields", F.lit(0)).alias("name"), "fields", F.struct("stem", "line_no").alias("place"))
+    return captions_last_wins(rows, "name", "place").select("video", "fields")
+
+
+def read_scene_captions(spark: SparkSession, paths: str, scene: str = "outdoor") -> DataFrame:
+    """(video, action_class, prompt) of comma-separated annotation files; those that are not there are passed over with a
+    warning, a file without scenes has the given one, and a video's last caption in the order of the files holds."""
+    parts = []
+    for i, path in enumerate(filter(None, (p.strip() for p in paths.split(",")))):
+        if not exists(spark, path):
+            warnings.warn(f"no captions at {path}", stacklevel=2)
+            continue
+        rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+        label = F.col("scene") if "scene" in rows.columns else F.lit(scene)
+        place = F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row"))
+        parts.append(rows.select(F.col("videoFile").alias("name"), label.alias("action_class"), F.col("caption").alias("prompt"), place.alias("place")))
+    if not parts:
+        return spark.createDataFrame([], "video string, action_class string, prompt string")
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return captions_last_wins(both, "name", "place").select("video", "action_class", "prompt")
+
+
+def separator_of(spark: SparkSession, path: str) -> str:
+    """By the file's ending, or else the separator that its first line has most often."""
+    if path.lower().endswith((".tsv", ".tab")):
+        return "\t"
+    if path.lower().endswith(".csv"):
+        return ","
+    head = spark.read.text(path).head()
+    return max(",\t;|", key=head[0].count) if head and head[0] else ","
+
+
 def captions_last_wins(df: DataFrame, name: str, order: str) -> DataFrame:
     """One row per name without its .mp4, the last in order."""
     keyed = df.withColumn("video", F.regexp_replace(name, r"\.mp4$", ""))
     return keyed.withColumn("_r", F.row_number().over(W.partitionBy("video").orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
 
 
+def numbered_lines(spark: SparkSession, path: str, skip_blank: bool = False) -> DataFrame:
+    """(stem, line_no, line) of text files, numbered from 0 in each file; with ``skip_blank`` lines of white space alone have
+    no number and fall out. A file is read in splits: lines are counted per split, and a line's number is what the splits
+    before it hold and its place in its own, so no file passes through one task."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    if skip_blank:
+        rows = rows.filter(stripped(F.col("line")) != "")
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", (before - F.col("_first")).alias("_shift"))
+    return rows.join(splits, ["file", "split"]).select(stem(F.col("file")).alias("stem"), (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
 def prompt_lines(spark: SparkSession, path: str, keep_blank_numbers: bool = False) -> DataFrame:
-    """(line_no, prompt, uttid) of the non-blank lines of a text file. Numbers count all lines, or the non-blank ones only."""
-    stem_of = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1), r"\.[^.]+$", "")
-    text = spark.read.text(path, wholetext=True).select(stem_of.alias("stem"), F.split(F.regexp_replace("value", r"\n$", ""), r"\r?\n").alias("lines"))
-    kept = "lines" if keep_blank_numbers else F.filter("lines", lambda x: F.trim(x) != "")
-    rows = text.select("stem", F.posexplode(kept).alias("line_no", "line")).filter(F.trim("line") != "")
-    return rows.select("line_no", F.trim("line").alias("prompt"), F.format_string("%s_%05d", "stem", "line_no").alias("uttid"))
+    """(line_no, prompt, uttid) of the non-blank lines of text files. Numbers count all lines, or the non-blank ones only."""
+    rows = numbered_lines(spark, path, skip_blank=not keep_blank_numbers).withColumn("prompt", stripped(F.col("line"))).filter("prompt <> ''")
+    return rows.select("line_no", "prompt", F.format_string("%s_%05d", "stem", "line_no").alias("uttid"))
+
+
+def remaining_lines(spark: SparkSession, path: str, done: DataFrame) -> DataFrame:
+    """The prompts of text files, numbered by all lines, whose uttid is not done yet."""
+    return prompt_lines(spark, path, keep_blank_numbers=True).join(done.select("uttid"), "uttid", "left_anti")
 
 
 def interactive(df: DataFrame, key: str, order: str) -> DataFrame:

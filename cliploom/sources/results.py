@@ -24,6 +24,20 @@ def read_results(spark: SparkSession, pattern: str, valid: list[str] | None = No
     return out if valid is None else out.filter(F.col("metric").isin(valid))
 
 
+MERGED = "map<string, struct<raw_score:double,normalized_score:double,rating:double>>"
+
+
+def read_merged(spark: SparkSession, pattern: str, score: str = "normalized") -> DataFrame:
+    """(model, metric, score) of the merged_results.json in each model's folder that ``pattern`` finds, with the total under
+    total_weighted_rating. score: raw, normalized or rating; another name means normalized. Unreadable documents and folders
+    without one have no rows."""
+    field = {"raw": "raw_score", "rating": "rating"}.get(score, "normalized_score")
+    raw = spark.read.text(pattern, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1).alias("model"), F.from_json("value", f"summary struct<non_drifting:{MERGED},drifting:{MERGED},total_weighted_rating:double>").alias("d"))
+    parts = [F.transform(F.map_entries(F.coalesce(F.col(f"d.summary.{g}"), F.create_map().cast(MERGED))), lambda e: F.struct(e["key"].alias("metric"), e["value"][field].alias("score"))) for g in ("non_drifting", "drifting")]
+    total = F.filter(F.array(F.struct(F.lit("total_weighted_rating").alias("metric"), F.col("d.summary.total_weighted_rating").alias("score"))), lambda e: e["score"].isNotNull())
+    return raw.filter("d.summary is not null").select("model", F.inline(F.concat(*parts, total)))
+
+
 def metric_facts(results: DataFrame, compat: bool = False) -> DataFrame:
     """(model, metric, average_score, num_items) for the leaderboard, from readable results."""
     score = picked_score(F.col("average_score"), F.col("average_drift_score"), compat)

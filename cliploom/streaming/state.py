@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cliploom.operators.state import composed
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder as a stream of its files."""
@@ -32,14 +37,15 @@ def drift_flags(chunks: DataFrame, rho: float = 0.9, delta: float = 0.15) -> Dat
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mean, variance = state.get if state.exists else (None, None)
-        out = []
-        for _, row in pd.concat(list(frames)).sort_values("place").iterrows():
-            far = mean is not None and abs(row["mean"] - mean) > delta and abs(row["variance"] - variance) > delta
-            out.append((key[0], int(row["place"]), bool(far)))
-            mean = row["mean"] if mean is None else rho * mean + (1 - rho) * row["mean"]
-            variance = row["variance"] if variance is None else rho * variance + (1 - rho) * row["variance"]
-        state.update((float(mean), float(variance)))
-        yield pd.DataFrame(out, columns=["key", "place", "drift"])
+        rows = pd.concat(list(frames)).sort_values("place")
+        x = rows[["mean", "variance"]].to_numpy()
+        begun = np.array([mean, variance] if mean is not None else x[0])
+        weight, folded = composed(np.full(len(x), rho), x * (1 - rho), np.r_[True, np.zeros(len(x) - 1, bool)])
+        after = folded + weight[:, None] * begun
+        before = np.vstack([begun, after[:-1]])
+        far = (np.abs(x - before) > delta).all(axis=1)
+        state.update((float(after[-1, 0]), float(after[-1, 1])))
+        yield pd.DataFrame({"key": key[0], "place": rows["place"].to_numpy(), "drift": far})
 
     return chunks.groupBy("key").applyInPandasWithState(step, DRIFT, "mean double, variance double", "append", GroupStateTimeout.NoTimeout)
 
@@ -48,9 +54,8 @@ def newest_buffer(rows: DataFrame, size: int) -> DataFrame:
     """(key, ids): the last ``size`` ids of each key so far, after each batch; rows are (key, place, ident)."""
 
     def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for _, row in pd.concat(list(frames)).sort_values("place").iterrows():
-            held = (held + [int(row["ident"])])[-size:]
+        new = pd.concat(list(frames)).sort_values("place")["ident"].tolist()
+        held = ((list(state.get[0]) if state.exists else []) + new)[-size:]
         state.update((held,))
         yield pd.DataFrame({"key": [key[0]], "ids": [held]})
 
@@ -68,3 +73,24 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     query = writer.start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the numbers of the last ``size`` batches of all streams: (name, batch, rows in, rows a second). Add it with
+    ``spark.streams.addListener``."""
+
+    def __init__(self, size: int = 1000):
+        self.batches: deque[tuple[str | None, int, int, float]] = deque(maxlen=size)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((p.name, p.batchId, p.numInputRows, p.processedRowsPerSecond))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
