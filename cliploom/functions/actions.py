@@ -73,18 +73,18 @@ _MOVE = r"moves|advances|progresses|glides|proceeds|pushes|follows|tracks|naviga
 _TURN = r"pans|shifts|turns|sweeps|rotates|tilts|angles"
 _ADV = r"(?:\s+(?:steadily|smoothly|slightly|gently|gradually|subtly|then|occasionally|slowly|briefly|further|continuously|rapidly|quickly))*"
 _PREP = r"(?:\s+(?:to the|toward the|towards the))?"
-_DIR = r"(forward|backward|upward|downward|left|right|up|down)"
+_DIR = r"forward|backward|upward|downward|left|right|up|down"
 _WHO = r",?\s*the (?:camera|viewer(?:'s (?:perspective|gaze|view))?|drone)(?:\s+angle)?" + _ADV + r"\s+"
 _CONTINUED = (
     r"(?:(?:to\s+)?(?:move|pan|tilt|advance|progress|glide|shift|push|turn|track|navigate)"
     r"|moving|panning|tilting|advancing|progressing|gliding|shifting|pushing|turning)"
 )
 _CLAUSES = [
-    ("plain", _WHO + rf"(?P<verb>{_MOVE}|{_TURN})" + _ADV + _PREP + r"\s+" + _DIR.replace("(", "(?P<dir>", 1)),
-    ("moves", _WHO + r"continues" + _ADV + r"\s+" + _CONTINUED + _ADV + _PREP + r"\s+" + _DIR.replace("(", "(?P<dir>", 1)),
-    ("moves", _WHO + r"continues\s+(?:its|the)\s+(?:steady\s+|smooth\s+)?" + _DIR.replace("(", "(?P<dir>", 1)),
-    ("pans", _WHO + rf"(?:{_MOVE}|{_TURN})" + _ADV + r"\s+from\s+(?:the\s+)?" + _DIR.replace("(", "(?:", 1) + r"\s+to\s+(?:the\s+)?" + _DIR.replace("(", "(?P<dir>", 1)),
-    ("plain", _WHO + r"(?P<verb>moving|panning|tilting|advancing|progressing|gliding|shifting|pushing|turning)" + _ADV + _PREP + r"\s+" + _DIR.replace("(", "(?P<dir>", 1)),
+    ("plain", _WHO + rf"(?P<verb>{_MOVE}|{_TURN})" + _ADV + _PREP + r"\s+" + rf"(?P<dir>{_DIR})"),
+    ("moves", _WHO + r"continues" + _ADV + r"\s+" + _CONTINUED + _ADV + _PREP + r"\s+" + rf"(?P<dir>{_DIR})"),
+    ("moves", _WHO + r"continues\s+(?:its|the)\s+(?:steady\s+|smooth\s+)?" + rf"(?P<dir>{_DIR})"),
+    ("pans", _WHO + rf"(?:{_MOVE}|{_TURN})" + _ADV + r"\s+from\s+(?:the\s+)?" + rf"(?:{_DIR})" + r"\s+to\s+(?:the\s+)?" + rf"(?P<dir>{_DIR})"),
+    ("plain", _WHO + r"(?P<verb>moving|panning|tilting|advancing|progressing|gliding|shifting|pushing|turning)" + _ADV + _PREP + r"\s+" + rf"(?P<dir>{_DIR})"),
 ]
 _PATTERNS = [(kind, re.compile(p, re.IGNORECASE)) for kind, p in _CLAUSES]
 _TURNING = {"pans", "shifts", "turns", "sweeps", "rotates", "tilts", "angles", "panning", "shifting", "turning", "tilting"}

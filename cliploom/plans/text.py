@@ -24,7 +24,7 @@ def whitespace_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(captions.cleaned(F.col("text"))).alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(captions.cleaned(F.col("text"))).alias("chars"), F.md5(captions.cleaned(F.col("text"))).alias("digest"))
 
 
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:

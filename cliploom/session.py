@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[int, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -43,8 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's own tables, below ``shared_dir``. They are what queries are computed from, so they
+    stay while the driver's process lives and are removed when it ends, or by ``drop_scratch``."""
+    path = f"{shared_dir(spark)}/cliploom-{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        jpath, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+
+        def remove() -> None:
+            try:
+                jpath.getFileSystem(conf).delete(jpath, True)
+            except Exception:  # the JVM may have ended before; then the folder is left to whoever owns the shared one
+                pass
+
+        atexit.register(remove)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all tables that queries of this application have stored. Results that were not computed yet are lost."""
+    drop_path(spark, scratch_dir(spark))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own for a table that lives as long as the driver's process."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

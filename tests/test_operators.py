@@ -1,14 +1,19 @@
 """Joins, sampling, state, streams, readers and writers on small inputs."""
 
 import json
+import os
 import random
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cliploom.functions import dims
-from cliploom.operators import compare, joins, ordering, sampling, state, windows
+from cliploom.functions.captions import strip_camera_motion, stripped
+from cliploom.operators import collate, compare, joins, ordering, sampling, state, windows
 from cliploom.session import fresh_path
 from cliploom.sources import manifests, prompts, results, sinks
 from cliploom.streaming import state as streams
@@ -83,20 +88,29 @@ def test_config_differences(spark):
     assert compare.drift_or_fail(compare.differences(a, a), "config").count() == 0
 
 
-def test_moving_average_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("partitions, batch", [(1, 10_000), (5, 7), (16, 3)])
+def test_moving_average_over_many_tasks(spark, partitions, batch):
+    """A key's rows in one range or many, in one batch or many, give the fold of the whole sequence."""
     rng = random.Random(3)
-    rows = [(k, i, rng.random()) for k in ("a", "b") for i in range(57)] + [("c", 0, 5.0), ("d", 0, None)]
+    rows = [(k, i, rng.random()) for k in ("a", "b") for i in range(157)] + [("c", 0, 5.0), ("d", 0, None), ("b", 9000, None)]
     df = spark.createDataFrame(rows, "k string, o bigint, v double")
     expected = {}
     for k in ("a", "b", "c"):
         g = None
-        for _, o, v in (r for r in rows if r[0] == k):
+        for _, o, v in (r for r in rows if r[0] == k and r[2] is not None):
             g = v if g is None else 0.8 * g + 0.2 * v
             expected[k, o] = g
-    for block in (4, 7, 57, 4096):
-        monkeypatch.setattr(state, "BLOCK", block)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(partitions), "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
         got = {(r.k, r.o): r.ema for r in state.moving_average(df, "k", "o", "v", 0.8).collect()}
-        assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1e-9 for x in got), block
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.keys() == expected.keys() and all(abs(got[x] - expected[x]) < 1e-9 for x in got)
+    assert state.moving_average(df.limit(0), "k", "o", "v", 0.8).count() == 0
 
 
 def test_similarity_buffer(spark):
@@ -145,8 +159,92 @@ def test_prompt_tables(spark, tmp_path):
         prompts.require_columns(spark.range(1), "id", "duration")
     assert prompts.video_column(spark.createDataFrame([("a",)], "video_name string")) == "video_name"
     (tmp_path / "p.txt").write_text("first\n\n third \n")
-    assert [(r.line_no, r.prompt, r.uttid) for r in prompts.prompt_lines(spark, str(tmp_path / "p.txt"), True).collect()] == [(0, "first", "p_00000"), (2, "third", "p_00002")]
-    assert [r.line_no for r in prompts.prompt_lines(spark, str(tmp_path / "p.txt")).collect()] == [0, 1]
+    assert sorted((r.line_no, r.prompt, r.uttid) for r in prompts.prompt_lines(spark, str(tmp_path / "p.txt"), True).collect()) == [(0, "first", "p_00000"), (2, "third", "p_00002")]
+    assert sorted(r.line_no for r in prompts.prompt_lines(spark, str(tmp_path / "p.txt")).collect()) == [0, 1]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = {f: [f"{f} line {i}\u3000" if i % 3 else " \t" for i in range(n)] for f, n in (("a", 400), ("b", 1), ("c", 90))}
+    for f, text in lines.items():
+        (tmp_path / f"{f}.txt").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = spark.read.text(str(tmp_path))
+        assert read.rdd.getNumPartitions() > 5
+        for blanks in (True, False):
+            got = sorted((r.uttid, r.prompt) for r in prompts.prompt_lines(spark, str(tmp_path), blanks).collect())
+            numbered = [(f, i, t.strip()) for f, text in lines.items() for i, t in enumerate(x for x in text if blanks or x.strip())]
+            assert got == sorted((f"{f}_{i:05d}", t) for f, i, t in numbered if t)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_white_space_of_all_kinds(spark):
+    texts = ["A quiet harbour with boats at dusk and lanterns.\n", "\x85\u3000x\u2003", "\u00a0 \x1f", "a\u2028b", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", stripped(F.col("t")).alias("s"), strip_camera_motion(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [r.s for r in rows] == [None if t is None else t.strip() for t in texts] and rows[0].c == texts[0].strip()
+    kept = sampling.distinct_prompts(spark.createDataFrame([("x",), ("x\t",), ("\u3000",), (None,)], "p string"), "p", None).collect()
+    assert [r.prompt for r in kept] == ["x"]
+
+
+def test_collate_and_merge(spark):
+    rows = [(1, 1, 5, [1.0, 2.0], "a"), (1, 2, None, [3.0, 4.0], None), (1, 3, 7, [5.0, 6.0], "c"), (2, 4, 1, [1.0], None), (3, 5, 1, None, "x")]
+    df = spark.createDataFrame(rows, "batch int, o int, n int, v array<double>, t string")
+    item = F.when(F.col("t") != "c", F.struct("n", F.struct("t", "v").alias("in")))
+    got = {r.batch: r for r in collate.collated(df.withColumn("item", item), "batch", "o", "item").collect()}
+    assert set(got) == {1, 3} and got[1].n == [5] and got[1]["in"].t == ["a"] and got[3]["in"].v == [None]
+    m = {r.batch: r for r in collate.merged(df, "batch", "o", ["n"], ["v"], ["t"]).collect()}
+    assert m[1].n == [5, None, 7] and m[1].v == [1.0, 2.0, 3.0, 4.0, 5.0, 6.0] and m[1].t == "a" and m[2].t is None
+    s = {r.batch: r.s for r in df.groupBy("batch").agg(collate.in_order("o", "v").alias("a")).select("batch", collate.stacked(F.col("a")).alias("s")).collect()}
+    assert (s[1].rows, s[1].width, s[1]["values"]) == (3, 2, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]) and s[3] is None
+
+
+def test_rollout_fails_on_too_few_sections(spark):
+    df = spark.createDataFrame([(1, 2)], "i int, n int")
+    with pytest.raises(PySparkException, match="fewer"):
+        df.select(windows.rollout_range(F.col("n"), 3, F.col("i")).alias("r")).collect()
+
+
+def test_substitutes(spark):
+    df = spark.createDataFrame([(1, "a", True), (2, "a", False), (3, "b", None), (4, None, True), (5, None, False), (6, "a", True)], "i bigint, b string, ok boolean")
+    used = {r.i: r.used for r in sampling.substituted(df, "i", "b", F.col("ok")).collect()}
+    assert used[2] in (1, 6) and {i: used[i] for i in (1, 3, 4, 5, 6)} == {1: 1, 3: None, 4: 4, 5: 4, 6: 6}
+
+
+def test_readers_pass_over_what_is_not_there(spark, tmp_path):
+    with pytest.warns(UserWarning, match="no captions"):
+        assert prompts.read_scene_captions(spark, str(tmp_path / "none.csv")).count() == 0
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "merged_results.json").write_text("{}")
+    assert results.read_merged(spark, f"{tmp_path}/*/merged_results.json").count() == 0
+
+
+def test_progress_of_streams(spark, sf):
+    log = streams.Progress(5)
+    spark.streams.addListener(log)
+    try:
+        out = streams.drained(streams.event_windows(streams.read_table(spark, sf, "events")), fresh_path(spark, "w"), "complete")
+        for _ in range(50):
+            if log.batches:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert out.count() and log.batches[0][2] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_stored_tables_go_with_the_process(tmp_path):
+    code = (
+        "from cliploom.session import local_session, materialize\n"
+        "spark = local_session(1)\n"
+        "print(materialize(spark.range(3), 'kept').inputFiles()[0])\n"
+    )
+    settings = os.environ | {"PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"}
+    done = subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0], capture_output=True, text=True, env=settings)
+    assert f"{tmp_path}/cliploom-" in done.stdout and not [f for f in os.listdir(tmp_path) if f.startswith("cliploom-")]
 
 
 def test_results_and_sinks(spark, tmp_path):
