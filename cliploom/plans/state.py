@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cliploom.functions.vectors import as_text
 from cliploom.operators import state, windows
+from cliploom.plans.windows import QUERIES as WINDOWS
 from cliploom.session import fresh_path, table
 from cliploom.streaming import state as streams
 
@@ -61,6 +63,13 @@ def stream_drift_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").cast("bigint").alias("user_id"), F.col("place").alias("chunk"), "drift")
 
 
+def stream_history_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history and target windows of ``history_target_window`` by keyed state, from the events as a stream."""
+    events = streams.read_table(spark, sf_dir, "events").filter("value is not null").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("place"), "value")
+    out = streams.drained(streams.history_target(events), fresh_path(spark, "histories"))
+    return out.select(F.col("key").cast("bigint").alias("user_id"), "chunk", as_text(F.col("history")).alias("history"), as_text(F.col("target")).alias("target"))
+
+
 _CH = """
 WITH RECURSIVE n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS m FROM events),
 c AS (SELECT user_id, rn // 9 AS chunk, round(avg(value) / 40, 6) AS mean, round(var_samp(value) / 400, 6) AS variance FROM n WHERE rn // 9 < m // 9 GROUP BY 1, 2),
@@ -71,6 +80,8 @@ _FLAGS = _CH + "SELECT user_id, chunk, coalesce(abs(mean - pm) > 0.15::DOUBLE AN
 _CHANCE = "CAST(('0x' || left(md5({} || ':{}:0'), 8)) AS BIGINT) / 4294967296.0::DOUBLE < {}::DOUBLE"
 _CLEAN = _CHANCE.format("sample_id", "mask-clean", 0.2)
 
+HISTORY_SQL = WINDOWS["history_target_window"][1]
+
 QUERIES = {
     "ema_fold": (ema_fold, """
 WITH RECURSIVE n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE value IS NOT NULL),
@@ -85,4 +96,5 @@ SELECT user_id, event_id, round(ema + 1e-9::DOUBLE, 5) AS ema FROM g"""),
     "warmup_admission": (warmup_admission, f"SELECT event_type, count(*) FILTER ((event_id < 1000 OR user_id % 8 = 3) AND (event_type <> 'view' OR {_CHANCE.format('event_id', 'admit', 0.25)})) AS admitted, count(*) AS events FROM events GROUP BY 1"),
     "stream_event_windows": (stream_event_windows, "SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
     "stream_drift_flags": (stream_drift_flags, _FLAGS),
+    "stream_history_target": (stream_history_target, HISTORY_SQL),
 }

@@ -116,7 +116,7 @@ _W = r"WITH w AS (SELECT *, list_filter(regexp_split_to_array(prompt, '\s+'), la
 _IDLE = "SELECT seg_id, coalesce(action_keys, 'None') AS keys, {} AS mouse FROM action_segments"
 
 QUERIES = {
-    "whitespace_clean": (whitespace_clean, r"SELECT prompt_id, trim(regexp_replace(prompt, '\s+', ' ', 'g')) AS text FROM prompt_table"),
+    "whitespace_clean": (whitespace_clean, f"SELECT prompt_id, trim(regexp_replace(prompt, '{captions.WHITE}+', ' ', 'g')) AS text FROM prompt_table"),
     "html_clean": (html_clean, None),
     "html_escape": (html_escape, "SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM documents"),
     "strip_camera_motion": (strip_camera_motion, None),

@@ -16,8 +16,8 @@ REPORT_ROWS = 10_000
 
 
 def write_csv(df: DataFrame, path: str, **new_columns) -> None:
-    """CSV with a header; columns that are there already are not added again. Blanks at the ends of values are kept, and an
-    empty text is told from a null by its quotes."""
+    """CSV with a header; columns that are there already are not added again. Blanks at the ends of values are kept; an
+    empty text cannot be told from a null and is read as one."""
     for name, column in new_columns.items():
         if name not in df.columns:
             df = df.withColumn(name, column)

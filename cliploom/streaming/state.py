@@ -13,6 +13,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cliploom.operators.state import composed
+from cliploom.operators.windows import HISTORY, TARGET
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +63,29 @@ def newest_buffer(rows: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, ids array<bigint>", "ids array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
 
+def history_target(rows: DataFrame, history: int = HISTORY, target: int = TARGET) -> DataFrame:
+    """(key, chunk, history, target) of (key, place, value) as a stream, as the batch operator gives them: a chunk comes out
+    once it is full. State of a key: the values before its open chunk, at most ``history``, those of the chunk, and its number.
+    """
+
+    def step(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        past, begun, chunk = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
+        values = begun + pd.concat(list(frames)).sort_values("place")["value"].tolist()
+        full = len(values) // target
+        line = past + values
+        out = []
+        for c in range(full):
+            at = len(past) + c * target
+            before = line[max(0, at - history) : at]
+            out.append((key[0], chunk + c, [0.0] * (history - len(before)) + before, line[at : at + target]))
+        end = len(past) + full * target
+        state.update((line[max(0, end - history) : end], line[end:], chunk + full))
+        yield pd.DataFrame(out, columns=["key", "chunk", "history", "target"])
+
+    kind = "key string, chunk bigint, history array<double>, target array<double>"
+    return rows.groupBy("key").applyInPandasWithState(step, kind, "past array<double>, open array<double>, chunk bigint", "append", GroupStateTimeout.NoTimeout)
+
+
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what there is and returns what it wrote to ``path``, beside which its checkpoint lies; a later
     run with the same path goes on where this one stopped. In complete mode the last state replaces the one before."""

@@ -173,3 +173,13 @@ def test_vector_edges(spark):
     zero = F.array(F.lit(0.0), F.lit(0.0))
     assert one(spark, vectors.normalized(zero)) == [0.0, 0.0] and one(spark, vectors.cosine(zero, zero)) is None
     assert one(spark, vectors.dot(F.lit(None).cast("array<double>"), zero)) is None
+
+
+def test_broken_encodings_are_repaired():
+    for right in ("Café à la crème", "naïve – “x”", "Zürich, 东京, \U0001f600", "plain", "Ç a été", "10 °C ± 1"):
+        wrong = right
+        for _ in range(2):
+            assert captions.repaired_text(wrong) == captions.repaired_text(right)
+            wrong = "".join(captions._C1[b - 0x80] if 0x80 <= b < 0xA0 else chr(b) for b in wrong.encode("utf-8"))
+    assert captions.repaired_text("ﬁne ｆｕｌｌ ‘q’\r\nx\x00\ufeff e\u0301") == "fine full 'q'\nx é"
+    assert captions.repaired_text("São Paulo, Ângela, Ñandú, ÀÉÎ") == "São Paulo, Ângela, Ñandú, ÀÉÎ"

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cliploom.functions import actions, schedules
+from cliploom.functions import actions, captions, schedules
 from cliploom.operators import leaderboard
 from cliploom.plans import registry, scoring
 from tests.sql_compare import connect, same
@@ -73,7 +73,7 @@ def test_similarity_buffer(spark, sf):
 
 def test_html_clean(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    clean = {i: None if t is None else " ".join(html.unescape(html.unescape(t)).split()) for i, t in texts.items()}
+    clean = {i: None if t is None else " ".join(html.unescape(html.unescape(captions.repaired_text(t))).split()) for i, t in texts.items()}
     got = rows_of(spark, sf, "html_clean", "doc_id")
     assert {i: r.digest for i, r in got.items()} == {i: None if t is None else hashlib.md5(t.encode()).hexdigest() for i, t in clean.items()}
 
