@@ -243,16 +243,16 @@ def likely(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float
     return (both.filter(F.col("agree") >= _least_agreement(threshold)) if screen else both).select("a", "b", "agree")
 
 
-def in_pieces(left: DataFrame, right: DataFrame, same: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``place`` for ``same``: where a value has more than PIECE rows of a side, these fall into pieces by a
-    hash of uid and every piece meets every piece of the other side, so no task joins a hot value by itself."""
-    sizes = [d.groupBy(same).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias(n)) for d, n in ((left, "_l"), (right, "_r"))]
-    pieces = sizes[0].join(sizes[1], same)
+def in_pieces(left: DataFrame, right: DataFrame, same: str, members: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``place`` for ``same``, of which ``members`` tells how many rows have it: where these are more than
+    PIECE, the rows of each side fall into pieces by a hash of uid and every piece meets every piece of the other side, so no
+    task joins a hot value by itself."""
+    pieces = F.ceil(F.col(members) / PIECE).cast("int")
+    own, other = F.pmod(F.xxhash64("uid"), pieces).cast("int"), F.explode(F.sequence(F.lit(0), pieces - 1))
     out = []
-    for rows, own, other in ((left, "_l", "_r"), (right, "_r", "_l")):
-        held = rows.join(pieces, same).withColumn("_own", F.pmod(F.xxhash64("uid"), F.col(own)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        l, r = ("_own", "_other") if own == "_l" else ("_other", "_own")
-        out.append(held.withColumn("place", F.struct(F.col(same), F.col(l).alias("l"), F.col(r).alias("r"))).drop("_l", "_r", "_own", "_other"))
+    for rows, names in ((left, ("_own", "_other")), (right, ("_other", "_own"))):
+        held = rows.withColumn("_own", own).withColumn("_other", other)
+        out.append(held.withColumn("place", F.struct(F.col(same), F.col(names[0]).alias("l"), F.col(names[1]).alias("r"))).drop("_own", "_other"))
     return out[0], out[1]
 
 
@@ -267,7 +267,11 @@ def sketched_pairs(left: DataFrame, right: DataFrame, threshold: float, same: st
 def confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float, run: int = RUN) -> DataFrame:
     """Pairs (a, b) whose sets of runs are at least ``threshold`` similar, compared exactly."""
     both = pairs.select("a", "b").join(left.select(F.col("uid").alias("a"), F.col("key").alias("ka")), "a")
-    both = both.join(right.select(F.col("uid").alias("b"), F.col("key").alias("kb")), "b")
+    return checked(both.join(right.select(F.col("uid").alias("b"), F.col("key").alias("kb")), "b"), threshold, run)
+
+
+def checked(both: DataFrame, threshold: float, run: int = RUN) -> DataFrame:
+    """Pairs (a, b) of (a, b, ka, kb) whose texts ka and kb are similar enough."""
     return both.select("a", "b", "ka", "kb").mapInArrow(exact_check(threshold, run), "a bigint, b bigint")
 
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm.candidates import band_parts, band_rows, confirmed, in_pieces, likely, numbered, sketch_rows, sketched_pairs, star_pairs
+from cliploom.llm.candidates import band_parts, band_rows, checked, confirmed, in_pieces, likely, numbered, sketch_rows, sketched_pairs, star_pairs
 from cliploom.llm.components import components
 from cliploom.llm.ledger import members_of
 from cliploom.llm.shingles import RUN, Plan, plan_for
@@ -83,8 +83,13 @@ def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int =
     probable = work.put(likely(raw.select("a", "b").distinct(), sketch, sketch, threshold, screen), "probable")
     rest = work.put(raw.filter("bucket is not null").select("bucket", F.explode(F.array("a", "b")).alias("uid")).distinct(), "rest")
     work.drop("raw")
-    involved = probable.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(rest.select("uid")).distinct()
-    some = work.put(texts.join(involved, "uid", "left_semi").select("uid", "key"), "some")
+    # Texts that any pair needs, each with its best edge and what else it is needed for, so that a check moves no others.
+    centres = probable.select(F.col("a").alias("uid"), F.lit(1).alias("centre"), F.lit(0).alias("edges"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("agree"), F.lit(0).alias("rest"))
+    members = probable.select(F.col("b").alias("uid"), F.lit(0).alias("centre"), F.lit(1).alias("edges"), "a", F.col("agree").cast("bigint").alias("agree"), F.lit(0).alias("rest"))
+    others = rest.select("uid", F.lit(0).alias("centre"), F.lit(0).alias("edges"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("agree"), F.lit(1).alias("rest"))
+    best = F.max(F.when(F.col("agree").isNotNull(), F.struct("agree", "a"))).getField("a")
+    involved = centres.unionByName(members).unionByName(others).groupBy("uid").agg(F.max("centre").alias("centre"), F.sum("edges").alias("edges"), best.alias("best"), F.max("rest").alias("rest"))
+    some = work.put(texts.select("uid", "key").join(involved, "uid"), "some")
     release_shuffles(spark)
 
     by_digest = texts.select("tbl", "digest", "uid")
@@ -92,15 +97,19 @@ def similar_groups(entries: DataFrame, threshold: float = THRESHOLD, run: int =
     same_row = work.put(same_row.join(by_digest.withColumnRenamed("digest", "first"), ["tbl", "first"]).select(F.col("uid").alias("a"), "b"), "same_row")
 
     # First each member's best edge: a forest that joins up large groups, after which most of their other edges are settled.
-    forest = probable.groupBy("b").agg(F.max_by("a", "agree").alias("a")).select("a", "b")
-    edges = [same_row, work.put(confirmed(forest, some, some, threshold, run), "edges0")]
+    hub = some.filter("centre = 1").select("uid", "key")
+    branches = some.filter("best is not null").select(F.col("best").alias("a"), F.col("uid").alias("b"), F.col("key").alias("kb"))
+    forest = branches.select("a", "b")
+    with_hub = branches.join(hub.select(F.col("uid").alias("a"), F.col("key").alias("ka")), "a")
+    edges = [same_row, work.put(checked(with_hub, threshold, run), "edges0")]
     labels = work.put(components(reduce(DataFrame.unionByName, edges)), "labels0")
     open_ = _apart(probable.select("a", "b"), labels).join(forest, ["a", "b"], "left_anti")
-    edges.append(work.put(confirmed(open_, some, some, threshold, run), "edges1"))
+    edges.append(work.put(confirmed(open_, hub, some.filter("edges > 1"), threshold, run), "edges1"))
     labels = work.put(components(reduce(DataFrame.unionByName, edges)), "labels1")
 
     missed = _pairs_besides_centre(work, rest, labels, sketch, threshold, screen)
-    edges.append(work.put(confirmed(missed, some, some, threshold, run), "edges2"))
+    in_rest = some.filter("rest = 1")
+    edges.append(work.put(confirmed(missed, in_rest, in_rest, threshold, run), "edges2"))
     if not edges[-1].isEmpty():
         labels = work.put(components(reduce(DataFrame.unionByName, edges)), "labels2")
 
@@ -128,10 +137,10 @@ def _pairs_besides_centre(work: Work, rest: DataFrame, labels: DataFrame, sketch
     inside the join and only likely pairs leave it. Members of one group are never paired. A large bucket meets in pieces.
     """
     placed = rest.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("comp", "uid").alias("comp"))
-    info = placed.groupBy("bucket").agg(F.min("uid").alias("centre"), F.min_by("comp", "uid").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    info = placed.groupBy("bucket").agg(F.min("uid").alias("centre"), F.min_by("comp", "uid").alias("home"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
     held = placed.join(info.filter("lo <> hi").drop("lo", "hi"), "bucket").filter("uid <> centre").join(sketch, "uid").drop("centre")
     held = work.put(held, "held")
-    pairs = sketched_pairs(*in_pieces(held.filter("comp <> home"), held, "bucket"), threshold, "place", "comp", screen)
+    pairs = sketched_pairs(*in_pieces(held.filter("comp <> home"), held, "bucket", "members"), threshold, "place", "comp", screen)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
