@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.functions import actions, captions, dims, shapes
-from cliploom.session import table
+from cliploom.session import spread, table
 from cliploom.sources import prompts
 
 
@@ -24,7 +24,7 @@ def whitespace_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(captions.cleaned(F.col("text"))).alias("chars"), F.md5(captions.cleaned(F.col("text"))).alias("digest"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.length(captions.cleaned(F.col("text"))).alias("chars"), F.md5(captions.cleaned(F.col("text"))).alias("digest"))
 
 
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +32,15 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_camera_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(spark, sf_dir).select("prompt_id", captions.strip_camera_motion(F.col("prompt")).alias("text"))
+    return spread(_prompts(spark, sf_dir).select("prompt_id", "prompt")).select("prompt_id", captions.strip_camera_motion(F.col("prompt")).alias("text"))
 
 
 def camera_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prompts(spark, sf_dir).select("prompt_id", actions.actions_to_json(actions.segments_of_caption(F.col("prompt"))).alias("segments"))
+    return spread(_prompts(spark, sf_dir).select("prompt_id", "prompt")).select("prompt_id", actions.actions_to_json(actions.segments_of_caption(F.col("prompt"))).alias("segments"))
 
 
 def action_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = actions.with_actions(_prompts(spark, sf_dir), 5)
+    rows = actions.with_actions(spread(_prompts(spark, sf_dir)), 5)
     return rows.select("prompt_id", F.col("action_source").alias("source"), actions.actions_to_json(F.col("actions")).alias("actions"))
 
 
