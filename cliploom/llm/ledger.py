@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm.text_keys import caption_key, caption_set, digest
-from cliploom.session import fresh_path, materialize, table
+from cliploom.session import fresh_path, materialize, spread, table
 
 #: A ledger has at least this many buckets, and so many that about BUCKET_ROWS of the expected rows fall in each.
 BUCKETS = 16
@@ -176,21 +176,22 @@ class CopyLedger:
         and written again.
         """
         new = batch.groupBy("tbl", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).withColumn("bucket", self.bucket(F.col("key")))
-        new = materialize(new, "ledger-batch")
-        touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # at most as many as there are buckets
-        rows = new.count()
+        writers = 1
         if self.newest:
+            new = materialize(new, "ledger-batch")
+            touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # at most as many as there are buckets
             held = self.read(touched)
-            rows += held.count()
+            # The rows of a bucket go to one task while it is of the size it was made for.
+            writers = max(1, -(-(new.count() + held.count()) // (max(1, len(touched)) * BUCKET_ROWS)))
             both = held.join(new, ["tbl", "key", "bucket"], "full_outer")
             new = both.select("tbl", "key", (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"), F.least("keep_id", "first").alias("keep_id"), "bucket")
         else:
             new = new.select("tbl", "key", F.col("n").alias("copies"), F.col("first").alias("keep_id"), "bucket")
         version, where = self.version + 1, f"{self.path}/v{self.version + 1}"
-        # The rows of a bucket go to one task while it is of the size it was made for.
-        writers = max(1, -(-rows // (max(1, len(touched)) * BUCKET_ROWS)))
         new = new.repartition("bucket") if writers == 1 else new.repartition(max(1, len(touched)) * writers, F.col("bucket"), F.pmod(F.hash("key"), F.lit(writers)))
         new.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(where)
+        if not self.newest:
+            touched = {r.bucket for r in self.spark.read.schema("tbl string, bucket int").parquet(where).select("bucket").distinct().collect()}
         return CopyLedger(self.spark, self.path, self.buckets, version, self.newest | dict.fromkeys(touched, version))
 
 
@@ -212,10 +213,11 @@ def members_of(keyed: DataFrame, ledger: DataFrame, rows: int, members: str = "c
 
 
 def record_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    read = lambda name, *columns: spread(table(spark, sf_dir, name).select(*columns))
     return {
-        "toy_filter": array_record_keys(table(spark, sf_dir, "toy_filter"), "toy_filter", "clip_id", "cap"),
-        "prompt_table": text_record_keys(table(spark, sf_dir, "prompt_table"), "prompt_table", "prompt_id", "prompt"),
-        "manifest_raw": json_record_keys(table(spark, sf_dir, "manifest_raw"), "manifest_raw", "raw_id", "line"),
+        "toy_filter": array_record_keys(read("toy_filter", "clip_id", "cap"), "toy_filter", "clip_id", "cap"),
+        "prompt_table": text_record_keys(read("prompt_table", "prompt_id", "prompt"), "prompt_table", "prompt_id", "prompt"),
+        "manifest_raw": json_record_keys(read("manifest_raw", "raw_id", "line"), "manifest_raw", "raw_id", "line"),
     }
 
 

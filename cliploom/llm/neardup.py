@@ -19,7 +19,7 @@ from cliploom.llm.components import components
 from cliploom.llm.ledger import members_of
 from cliploom.llm.shingles import RUN, Plan, plan_for
 from cliploom.llm.text_keys import caption_set, digest
-from cliploom.session import drop_path, fresh_path, release_shuffles, table
+from cliploom.session import drop_path, fresh_path, release_shuffles, spread, table
 
 THRESHOLD = 0.5
 
@@ -145,7 +145,8 @@ def _pairs_besides_centre(work: Work, rest: DataFrame, labels: DataFrame, sketch
 
 
 def caption_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips, prompts = table(spark, sf_dir, "toy_filter"), table(spark, sf_dir, "prompt_table")
+    clips = spread(table(spark, sf_dir, "toy_filter").select("clip_id", "cap"))
+    prompts = spread(table(spark, sf_dir, "prompt_table").select("prompt_id", "prompt"))
     return entries_of(clips, "toy_filter", "clip_id", clips["cap"]).unionByName(entries_of(prompts, "prompt_table", "prompt_id", F.array(prompts["prompt"])))
 
 

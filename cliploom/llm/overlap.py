@@ -14,7 +14,7 @@ from cliploom.llm.candidates import band_rows, confirmed, cross_pairs, large_buc
 from cliploom.llm.neardup import THRESHOLD, Work
 from cliploom.llm.shingles import RUN, Plan, plan_for
 from cliploom.llm.text_keys import caption_key, caption_set, digest
-from cliploom.session import release_shuffles, table
+from cliploom.session import release_shuffles, spread, table
 
 
 def text_entries(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -67,7 +67,8 @@ def overlapping_pairs(evaluation: DataFrame, training: DataFrame, threshold: flo
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts, clips = table(spark, sf_dir, "eval_prompt"), table(spark, sf_dir, "toy_filter")
+    prompts = spread(table(spark, sf_dir, "eval_prompt").select("id", "prompt"))
+    clips = spread(table(spark, sf_dir, "toy_filter").select("clip_id", "cap"))
     return overlapping_pairs(text_entries(prompts, "id", "prompt"), array_entries(clips, "clip_id", "cap"))
 
 
